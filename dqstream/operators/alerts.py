@@ -43,7 +43,7 @@ def alert_streaks(
     p: Policy,
     resets: DataFrame | None = None,
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """Add a streak per rule. A reset clears all but the stall streak.
 
@@ -77,7 +77,7 @@ def halt_alerts(
     outcomes: DataFrame,
     resets: DataFrame | None = None,
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """Add `halt_alert`: the first halted batch since the last reset."""
     placed = outcomes if "__is_batch" in outcomes.columns else with_resets(outcomes, resets)
@@ -148,40 +148,42 @@ def _fired(p: Policy) -> Column:
     )
 
 
+def fired(counted: DataFrame, p: Policy) -> DataFrame:
+    """Alert rows of batches with streaks."""
+    return counted.select(*BATCH, F.inline(_fired(p))).filter(F.col("level").isNotNull())
+
+
+def fired_halts(marked: DataFrame) -> DataFrame:
+    """Alert rows of batches with `halt_alert`."""
+    return marked.filter("halt_alert").select(
+        *BATCH,
+        F.lit(RULES.index("halt")).alias("ordinal"),
+        F.lit("halt").alias("rule"),
+        F.lit(CRITICAL).alias("level"),
+        F.lit(1).cast("bigint").alias("streak"),
+        F.lit("circuit_breaker_halted").alias("runbook_key"),
+    )
+
+
 def alerts(
     signals: DataFrame,
     p: Policy,
     resets: DataFrame | None = None,
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """One row per fired alert: rule, level, streak and runbook key."""
-    counted = alert_streaks(signals, p, resets, initial, span).filter("__is_batch = 1")
-    return (
-        counted.select(*BATCH, F.inline(_fired(p)))
-        .filter(F.col("level").isNotNull())
-    )
+    return fired(alert_streaks(signals, p, resets, initial, span).filter("__is_batch = 1"), p)
 
 
 def halt_alert_rows(
     outcomes: DataFrame,
     resets: DataFrame | None = None,
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """The halt alert as alert rows."""
-    return (
-        halt_alerts(outcomes, resets, initial, span)
-        .filter("halt_alert")
-        .select(
-            *BATCH,
-            F.lit(RULES.index("halt")).alias("ordinal"),
-            F.lit("halt").alias("rule"),
-            F.lit(CRITICAL).alias("level"),
-            F.lit(1).cast("bigint").alias("streak"),
-            F.lit("circuit_breaker_halted").alias("runbook_key"),
-        )
-    )
+    return fired_halts(halt_alerts(outcomes, resets, initial, span))
 
 
 def fired_levels(fired: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def with_resets(rows: DataFrame, resets: DataFrame | None) -> DataFrame:
     return placed.unionByName(control, allowMissingColumns=True)
 
 
-def failure_streak(classified: DataFrame, initial: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+def failure_streak(classified: DataFrame, initial: DataFrame | None = None, span: int | None = SPAN) -> DataFrame:
     """Batches in a row that did not pass; a reset ends the row as well."""
     batch = F.col("__is_batch") == 1
     ends = ~batch | (F.col("batch_class") == PASS)
@@ -53,7 +53,7 @@ def breaker(
     p: Policy,
     resets: DataFrame | None = None,
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """Add `batch_class`, `failure_streak`, `outcome` and `breaker_open`.
 

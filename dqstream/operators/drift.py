@@ -81,7 +81,7 @@ def value_stats(df: DataFrame, field: str) -> DataFrame:
     )
 
 
-def distribution_drift(df: DataFrame, field: str, p: Policy, span: int = SPAN) -> DataFrame:
+def distribution_drift(df: DataFrame, field: str, p: Policy, span: int | None = SPAN) -> DataFrame:
     """Each batch's mean against the values of the trailing batches.
 
     The z-score divides by the spread of the trailing values. A batch without
@@ -89,7 +89,7 @@ def distribution_drift(df: DataFrame, field: str, p: Policy, span: int = SPAN) -
     """
     stats = stage(value_stats(df, field))
     placed = running(stats, ["feed"], ["batch_id"], sums={"batch_no": F.lit(1).cast("bigint")}, span=span)
-    seen = with_reach(placed, "batch_no", span, p.drift_trailing_batches)
+    seen = with_reach(placed, "batch_no", span or SPAN, p.drift_trailing_batches)
     past = (
         W.partitionBy("feed", "__chunk").orderBy("batch_no").rangeBetween(-p.drift_trailing_batches, -1)
     )

@@ -39,20 +39,27 @@ def lag_batches(df: DataFrame, p: Policy) -> DataFrame:
 
 
 def lag_running(
-    batches: DataFrame, initial: DataFrame | None = None, span: int = SPAN
+    batches: DataFrame, initial: DataFrame | None = None, span: int | None = SPAN
 ) -> DataFrame:
-    """Totals since the start: events, late events, greatest lag, late ratios."""
+    """Totals since the start: events, late events, greatest lag, late ratios.
+
+    A batch without event times shows zeros, the totals go on after it.
+    """
     summed = running(
         batches,
         ["feed"],
         ["batch_id"],
-        sums={"total_event_count": F.col("event_count"), "late_event_count": F.col("late_count")},
-        maxes={"max_seen_lag_ms": F.col("batch_max_lag_ms")},
+        sums={"seen_events": F.col("event_count"), "seen_late": F.col("late_count")},
+        maxes={"peak_lag_ms": F.col("batch_max_lag_ms")},
         initial=initial,
         span=span,
     )
-    return summed.withColumn("late_ratio", ratio("late_event_count", "total_event_count")).withColumn(
-        "batch_late_ratio", ratio("late_count", "event_count")
+    shown = {"total_event_count": "seen_events", "late_event_count": "seen_late", "max_seen_lag_ms": "peak_lag_ms"}
+    any_events = F.col("event_count") > 0
+    return (
+        summed.withColumns({n: F.when(any_events, F.col(c)).otherwise(0) for n, c in shown.items()})
+        .withColumn("late_ratio", ratio("late_event_count", "total_event_count"))
+        .withColumn("batch_late_ratio", ratio("late_count", "event_count"))
     )
 
 
@@ -82,7 +89,7 @@ def lag_tails(df: DataFrame, p: Policy) -> DataFrame:
     return counts.join(tails, BATCH)
 
 
-def lag_p95(tails: DataFrame, p: Policy, span: int = SPAN) -> DataFrame:
+def lag_p95(tails: DataFrame, p: Policy, span: int | None = SPAN) -> DataFrame:
     """Rolling p95 over the last `lag_samples` lags up to each batch.
 
     The 0-based index is floor(0.95 n) of the sorted sample. `tails` is read
@@ -90,7 +97,7 @@ def lag_p95(tails: DataFrame, p: Policy, span: int = SPAN) -> DataFrame:
     """
     keep = p.lag_samples
     ended = running(tails, ["feed"], ["batch_id"], sums={"__end": F.col("event_count")}, span=span)
-    reach = max(span, keep)
+    reach = max(span or SPAN, keep)
     seen = with_reach(ended, "__end", reach, keep)
     recent = W.partitionBy("feed", "__chunk").orderBy("__end").rangeBetween(-(keep - 1), W.currentRow)
     pooled = seen.withColumn("__lags", F.flatten(F.collect_list("tail").over(recent))).filter("__own")

@@ -37,23 +37,30 @@ def combine(
     p: Policy,
     resets: DataFrame | None = None,
     state: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """Run the batch-level operators over staged per-batch tables.
 
-    `state` may hold the last row an earlier run gave per feed. Everything here
-    works on one row per batch, apart from the folded volume grid.
+    `state` may hold the last row an earlier run gave per feed; `tails` and
+    `grid` then also hold what of the earlier batches is still in view.
+    Everything here works on one row per batch, but for the folded grid.
     """
+    arrived = facts.select(*BATCH, F.col("event_count").alias("arrived"), F.col("completed_at").alias("newest"))
+    if state is None:
+        counted = volumes(grid, p, arrived=arrived, span=span)
+    else:
+        counted = volumes(grid, p, initial=state, span=span).join(facts.select(*BATCH), BATCH, "left_semi")
+    stall = stall_signal(stage(counted), p, initial=state, span=span)
     lag = lag_running(facts, initial=state, span=span)
     p95 = lag_p95(tails, p, span=span)
-    stall = stall_signal(stage(volumes(grid, p, initial=state, span=span)), p, initial=state, span=span)
-    joined = lag.join(p95, BATCH).join(stall, BATCH)
+    # A batch without event times has no sample.
+    joined = lag.join(p95, BATCH, "left").fillna(0, ["sample_count", "p95_lag_ms"]).join(stall, BATCH)
     scored = stage(anomaly(joined, p))
     return breaker(scored, p, resets, initial=state, span=span)
 
 
 def signals(
-    events: DataFrame, p: Policy, resets: DataFrame | None = None, span: int = SPAN
+    events: DataFrame, p: Policy, resets: DataFrame | None = None, span: int | None = SPAN
 ) -> DataFrame:
     """One staged row per batch with every signal.
 

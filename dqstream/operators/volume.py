@@ -33,7 +33,8 @@ def tumbling(df: DataFrame, seconds: int) -> DataFrame:
 
 def volume_grid(df: DataFrame) -> DataFrame:
     """Events per batch and distinct event time, with the latest receive time."""
-    return df.groupBy(*BATCH, "occurred_at").agg(
+    timed = df.filter(F.col("occurred_at").isNotNull())
+    return timed.groupBy(*BATCH, "occurred_at").agg(
         F.count(F.lit(1)).alias("n"), F.max("received_at").alias("newest")
     )
 
@@ -42,19 +43,20 @@ def volumes(
     grid: DataFrame,
     p: Policy,
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    arrived: DataFrame | None = None,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """Per batch: clock, short-window volume and baseline total.
 
     `grid` is read several times: stage it. `initial` may hold the clock that
-    an earlier run had reached.
+    an earlier run had reached, `arrived` staged (`arrived`, `newest`) per batch
+    if they are known already.
     """
     short, base = p.short_window_seconds * 1000, p.baseline_window_seconds * 1000
-    arrived = grid.groupBy(*BATCH).agg(F.sum("n").alias("arrived"), F.max("newest").alias("newest"))
+    if arrived is None:
+        arrived = stage(grid.groupBy(*BATCH).agg(F.sum("n").alias("arrived"), F.max("newest").alias("newest")))
     clocks = stage(
-        running(
-            stage(arrived), ["feed"], ["batch_id"], maxes={"clock": F.col("newest")}, initial=initial, span=span
-        )
+        running(arrived, ["feed"], ["batch_id"], maxes={"clock": F.col("newest")}, initial=initial, span=span)
     )
 
     # First instant at which an event no longer counts. A bucket goes when its
@@ -136,7 +138,7 @@ def stall_columns(counted: DataFrame, p: Policy) -> DataFrame:
 
 
 def stall_signal(
-    counted: DataFrame, p: Policy, initial: DataFrame | None = None, span: int = SPAN
+    counted: DataFrame, p: Policy, initial: DataFrame | None = None, span: int | None = SPAN
 ) -> DataFrame:
     """Stall streak and signal per batch.
 

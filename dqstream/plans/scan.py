@@ -27,18 +27,19 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     maxes_before: Mapping[str, Column] | None = None,
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """Add running sums and maxima over `order` within `by`.
 
     `order[0]` must be a BIGINT ordinal; `maxes_before` leaves the current row
     out. `initial` may hold one row per `by` with the values reached earlier.
-    The input is read twice, so give it a stored or staged table.
+    The input is read twice, so give it a stored or staged table. Where each
+    `by` is known to hold few rows, `span=None` takes one window and one read.
     """
     sums, maxes, maxes_before = dict(sums or {}), dict(maxes or {}), dict(maxes_before or {})
     peaks = {**maxes, **maxes_before}
     by = list(by)
-    cut = rows.withColumn(_CHUNK, F.expr(f"`{order[0]}` div {span}L"))
+    cut = rows.withColumn(_CHUNK, _chunk_of(order[0], span))
 
     inside = W.partitionBy(*by, _CHUNK).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -50,31 +51,48 @@ def running(
         *[F.max(c).over(before).alias(f"__m_{n}") for n, c in maxes_before.items()],
     )
 
-    totals = cut.groupBy(*by, _CHUNK).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()],
-        *[F.max(c).alias(n) for n, c in peaks.items()],
-    )
-    if initial is not None:
-        start = initial.select(*by, F.lit(_BEFORE_ALL).alias(_CHUNK), *sums, *peaks)
-        totals = totals.unionByName(start)
-    earlier = W.partitionBy(*by).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *by,
-        _CHUNK,
-        *[F.sum(n).over(earlier).alias(f"__cs_{n}") for n in sums],
-        *[F.max(n).over(earlier).alias(f"__cm_{n}") for n in peaks],
-    )
+    if span is None:
+        joined = _with_start(
+            local, by, initial, {**{f"__cs_{n}": n for n in sums}, **{f"__cm_{n}": n for n in peaks}}
+        )
+    else:
+        totals = cut.groupBy(*by, _CHUNK).agg(
+            *[F.sum(c).alias(n) for n, c in sums.items()],
+            *[F.max(c).alias(n) for n, c in peaks.items()],
+        )
+        if initial is not None:
+            start = initial.select(*by, F.lit(_BEFORE_ALL).alias(_CHUNK), *sums, *peaks)
+            totals = totals.unionByName(start)
+        earlier = W.partitionBy(*by).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        carried = totals.select(
+            *by,
+            _CHUNK,
+            *[F.sum(n).over(earlier).alias(f"__cs_{n}") for n in sums],
+            *[F.max(n).over(earlier).alias(f"__cm_{n}") for n in peaks],
+        )
+        joined = local.join(carried, [*by, _CHUNK], "left")
+    started = span is not None or initial is not None
+
+    def total(n: str) -> Column:
+        own = F.coalesce(F.col(f"__s_{n}"), F.lit(0))
+        return F.coalesce(F.col(f"__cs_{n}"), F.lit(0)) + own if started else own
+
+    def peak(n: str) -> Column:
+        return _later(F.col(f"__cm_{n}"), F.col(f"__m_{n}")) if started else F.col(f"__m_{n}")
+
+    made = {**{n: total(n) for n in sums}, **{n: peak(n) for n in peaks}}
+    return joined.select(*[c for c in rows.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+
 
-    joined = local.join(carried, [*by, _CHUNK], "left")
-    made = [
-        *[
-            (F.coalesce(F.col(f"__cs_{n}"), F.lit(0)) + F.coalesce(F.col(f"__s_{n}"), F.lit(0))).alias(n)
-            for n in sums
-        ],
-        *[_later(F.col(f"__cm_{n}"), F.col(f"__m_{n}")).alias(n) for n in peaks],
-    ]
-    fresh = {*sums, *peaks}
-    return joined.select(*[c for c in rows.columns if c not in fresh], *made)
+def _chunk_of(order: str, span: int | None) -> Column:
+    return F.lit(0).cast("bigint") if span is None else F.expr(f"`{order}` div {span}L")
+
+
+def _with_start(local: DataFrame, by: list[str], initial: DataFrame | None, names: Mapping[str, str]) -> DataFrame:
+    """Put the values an earlier run reached next to the rows."""
+    if initial is None:
+        return local
+    return local.join(initial.select(*by, *[F.col(n).alias(a) for a, n in names.items()]), by, "left")
 
 
 def _later(a: Column, b: Column) -> Column:
@@ -126,7 +144,7 @@ def streaks(
     order: Sequence[str],
     tests: Mapping[str, tuple[Column, Column]],
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = SPAN,
 ) -> DataFrame:
     """Add the number of counted rows since the last break, per named test.
 
@@ -138,7 +156,7 @@ def streaks(
     inside = W.partitionBy(*by, _CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     cut = rows.select(
         *[c for c in rows.columns if c not in names],
-        F.expr(f"`{order[0]}` div {span}L").alias(_CHUNK),
+        _chunk_of(order[0], span).alias(_CHUNK),
         *[F.coalesce(counts, F.lit(False)).cast("bigint").alias(f"__n_{n}") for n, (counts, _) in tests.items()],
         *[F.coalesce(breaks, F.lit(False)).alias(f"__b_{n}") for n, (_, breaks) in tests.items()],
     )
@@ -147,49 +165,54 @@ def streaks(
         "*", *[F.max(F.when(F.col(f"__b_{n}"), F.col(f"__c_{n}"))).over(inside).alias(f"__a_{n}") for n in names]
     )
 
-    totals = local.groupBy(*by, _CHUNK).agg(
-        *[F.max(f"__c_{n}").alias(f"__t_{n}") for n in names],
-        *[F.max(f"__a_{n}").alias(f"__l_{n}") for n in names],
-    )
-    if initial is not None:
-        totals = totals.unionByName(
-            initial.select(
-                *by,
-                F.lit(_BEFORE_ALL).alias(_CHUNK),
-                *[F.col(n).cast("bigint").alias(f"__t_{n}") for n in names],
-                *[F.lit(0).cast("bigint").alias(f"__l_{n}") for n in names],
+    if span is None:
+        joined = _with_start(local, by, initial, {f"__k_{n}": n for n in names})
+    else:
+        totals = local.groupBy(*by, _CHUNK).agg(
+            *[F.max(f"__c_{n}").alias(f"__t_{n}") for n in names],
+            *[F.max(f"__a_{n}").alias(f"__l_{n}") for n in names],
+        )
+        if initial is not None:
+            totals = totals.unionByName(
+                initial.select(
+                    *by,
+                    F.lit(_BEFORE_ALL).alias(_CHUNK),
+                    *[F.col(n).cast("bigint").alias(f"__t_{n}") for n in names],
+                    *[F.lit(0).cast("bigint").alias(f"__l_{n}") for n in names],
+                )
             )
+        chunks = W.partitionBy(*by).orderBy(_CHUNK)
+        upto = chunks.rowsBetween(W.unboundedPreceding, W.currentRow)
+        earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
+        # Position of the last break, counted from the start of the feed.
+        placed = totals.select(
+            *by,
+            _CHUNK,
+            *[F.sum(f"__t_{n}").over(earlier).alias(f"__e_{n}") for n in names],
+            *[
+                (F.sum(f"__t_{n}").over(upto) - F.col(f"__t_{n}") + F.col(f"__l_{n}")).alias(f"__p_{n}")
+                for n in names
+            ],
         )
-    chunks = W.partitionBy(*by).orderBy(_CHUNK)
-    upto = chunks.rowsBetween(W.unboundedPreceding, W.currentRow)
-    earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
-    # Position of the last break, counted from the start of the feed.
-    placed = totals.select(
-        *by,
-        _CHUNK,
-        *[F.sum(f"__t_{n}").over(earlier).alias(f"__e_{n}") for n in names],
-        *[
-            (F.sum(f"__t_{n}").over(upto) - F.col(f"__t_{n}") + F.col(f"__l_{n}")).alias(f"__p_{n}")
-            for n in names
-        ],
-    )
-    carried = placed.select(
-        *by,
-        _CHUNK,
-        *[
-            (
-                F.coalesce(F.col(f"__e_{n}"), F.lit(0))
-                - F.coalesce(F.max(f"__p_{n}").over(earlier), F.lit(0))
-            ).alias(f"__k_{n}")
-            for n in names
-        ],
-    )
-    made = [
-        F.when(F.col(f"__a_{n}").isNull(), F.col(f"__c_{n}") + F.col(f"__k_{n}"))
-        .otherwise(F.col(f"__c_{n}") - F.col(f"__a_{n}"))
-        .alias(n)
-        for n in names
-    ]
-    return local.join(carried, [*by, _CHUNK], "left").select(
-        *[c for c in rows.columns if c not in names], *made
-    )
+        carried = placed.select(
+            *by,
+            _CHUNK,
+            *[
+                (
+                    F.coalesce(F.col(f"__e_{n}"), F.lit(0))
+                    - F.coalesce(F.max(f"__p_{n}").over(earlier), F.lit(0))
+                ).alias(f"__k_{n}")
+                for n in names
+            ],
+        )
+        joined = local.join(carried, [*by, _CHUNK], "left")
+    started = span is not None or initial is not None
+
+    def streak(n: str) -> Column:
+        open_ended = F.col(f"__c_{n}")
+        if started:
+            open_ended = open_ended + F.coalesce(F.col(f"__k_{n}"), F.lit(0))
+        return F.when(F.col(f"__a_{n}").isNull(), open_ended).otherwise(F.col(f"__c_{n}") - F.col(f"__a_{n}"))
+
+    made = [streak(n).alias(n) for n in names]
+    return joined.select(*[c for c in rows.columns if c not in names], *made)

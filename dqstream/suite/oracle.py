@@ -485,8 +485,8 @@ own AS (SELECT feed, batch_id, no, count(x) AS n, avg(x) AS mean, stddev_samp(x)
   FROM numbered GROUP BY feed, batch_id, no),
 past AS (SELECT o.batch_id, count(p.x) AS base_n, avg(p.x) AS base_mean, stddev_samp(p.x) AS base_spread
   FROM own o LEFT JOIN numbered p ON p.no BETWEEN o.no - 10 AND o.no - 1 GROUP BY o.batch_id)
-SELECT feed, batch_id, n, round(mean, 4) AS mean, round(spread, 4) AS spread, round(low, 4) AS low, round(high, 4) AS high,
-  base_n, round(base_mean, 4) AS base_mean, round(base_spread, 4) AS base_spread,
+SELECT feed, batch_id, n, round(mean, 8) AS mean, round(spread, 4) AS spread, round(low, 4) AS low, round(high, 4) AS high,
+  base_n, round(base_mean, 8) AS base_mean, round(base_spread, 4) AS base_spread,
   round(abs(mean - base_mean) / base_spread, 4) AS z_score,
   coalesce(abs(mean - base_mean) / base_spread > 1.5, false) AS drifted
 FROM own JOIN past USING (batch_id)""",

@@ -275,9 +275,9 @@ def payload_distribution_drift(spark, d):
     return dr.distribution_drift(fx.drifted(spark, d), "price", P.but(drift_z_limit=1.5)).select(
         *BATCH,
         "n",
-        *[F.round(c, 4).alias(c) for c in ("mean", "spread", "low", "high")],
+        *[F.round(c, 8).alias(c) for c in ("mean", "base_mean")],
+        *[F.round(c, 4).alias(c) for c in ("spread", "low", "high", "base_spread", "z_score")],
         "base_n",
-        *[F.round(c, 4).alias(c) for c in ("base_mean", "base_spread", "z_score")],
         "drifted",
     )
 
