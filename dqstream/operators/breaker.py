@@ -58,7 +58,8 @@ def breaker(
     """Add `batch_class`, `failure_streak`, `outcome` and `breaker_open`.
 
     A halt-class batch that ends a run of failures opens the breaker; from then
-    on every batch halts until a reset. Whether it is open depends only on
+    on every batch halts until a reset. With `halt_on_quarantine_run` any failing
+    batch that ends such a run opens it, and halts itself. Whether it is open depends only on
     openings since the last reset, so no feedback is needed and running maxima
     give the exact state. `report` is read more than once: stage it.
     """
@@ -84,9 +85,9 @@ def breaker(
     )
     return (
         latched.withColumn("breaker_open", was_open | F.col("__opens"))
+        .withColumn("outcome", F.when(F.col("breaker_open"), HALT).otherwise(F.col("batch_class")))
         # Kept inclusive, so that the row can seed a later run.
         .withColumn("last_opening", F.when(F.col("__opens"), here).otherwise(F.col("last_opening")))
-        .withColumn("outcome", F.when(was_open, HALT).otherwise(F.col("batch_class")))
         .filter(batch)
         .drop("__opens", "__is_batch")
     )

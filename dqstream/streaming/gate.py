@@ -26,7 +26,7 @@ from dqstream.operators.signals import batch_facts, combine
 from dqstream.operators.validate import validate_events
 from dqstream.operators.volume import volume_grid
 from dqstream.plans.scan import SPAN
-from dqstream.plans.stage import stage
+from dqstream.plans.stage import remove, stage, staging
 from dqstream.policy import Policy
 from dqstream.session import configure
 
@@ -60,7 +60,8 @@ class Gate:
             events = events.withColumn("batch_id", F.lit(epoch).cast("bigint"))
         checked = validate_events(events, p).persist()
         try:
-            self._epoch(spark, checked, epoch)
+            with staging(spark):
+                self._epoch(spark, checked, epoch)
         finally:
             checked.unpersist()
 
@@ -91,6 +92,7 @@ class Gate:
         self._write(self._last_rows(state, judged), "state", epoch)
         self._write(self._live_tails(tails), "tails", epoch)
         self._write(self._live_grid(grid, judged), "ledger", epoch)
+        self._forget(spark, epoch)
 
     # -- sinks --------------------------------------------------------------
 
@@ -192,17 +194,27 @@ class Gate:
 
     def _last(self, spark: SparkSession, name: str, epoch: int) -> DataFrame | None:
         """What the latest earlier epoch wrote; epochs without events write nothing."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return None
-        found = [int(s.getPath().getName().split("=")[1]) for s in files.listStatus(path)]
-        earlier = [e for e in found if e < epoch and self._complete(files, spark, e)]
+        earlier = [e for e in self._epochs(spark, "ledger") if e < epoch and self._complete(spark, e)]
         return spark.read.parquet(self._path(name, max(earlier))) if earlier else None
 
-    def _complete(self, files, spark: SparkSession, epoch: int) -> bool:
+    def _epochs(self, spark: SparkSession, name: str) -> list[int]:
+        if not self._exists(spark, name):
+            return []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        return [int(s.getPath().getName().split("=")[1]) for s in listed]
+
+    def _complete(self, spark: SparkSession, epoch: int) -> bool:
         """The ledger is written last; with it an epoch's state is whole."""
-        return files.exists(spark._jvm.org.apache.hadoop.fs.Path(self._path("ledger", epoch) + "/_SUCCESS"))
+        return self._exists(spark, None, self._path("ledger", epoch) + "/_SUCCESS")
+
+    def _forget(self, spark: SparkSession, epoch: int) -> None:
+        """Drop state that no epoch will read again; the one before may run once more."""
+        kept = max((e for e in self._epochs(spark, "ledger") if e < epoch), default=epoch)
+        for name in ("ledger", "tails", "state"):
+            for old in self._epochs(spark, name):
+                if old < kept:
+                    remove(spark, self._path(name, old))
 
     @staticmethod
     def _also(new: DataFrame, old: DataFrame | None) -> DataFrame:
