@@ -72,6 +72,8 @@ def rejected_rows(
     # Only keys with several rows can hold a duplicate.
     sizes = instants.groupBy("k").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("times"))
     repeated = stage(sizes.filter("rows > 1"))
+    if repeated.isEmpty():
+        return df.select(order).filter(F.lit(False))
     several = stage(instants.join(repeated, "k", "left_semi"))
 
     small = several.join(repeated.filter(F.col("times") <= fold_limit), "k", "left_semi")

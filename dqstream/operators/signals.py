@@ -11,7 +11,7 @@ from dqstream.operators.batches import latency, report_columns, report_measures
 from dqstream.operators.breaker import breaker
 from dqstream.operators.lag import lag_measures, lag_p95, lag_running, lag_tails
 from dqstream.operators.validate import validate_events
-from dqstream.operators.volume import stall_signal, volume_grid, volumes
+from dqstream.operators.volume import stall_signal, volume_grid, volumes, volumes_now
 from dqstream.plans.scan import SPAN
 from dqstream.plans.stage import stage
 from dqstream.policy import Policy
@@ -38,25 +38,30 @@ def combine(
     resets: DataFrame | None = None,
     state: DataFrame | None = None,
     span: int | None = SPAN,
+    one_batch: bool = False,
 ) -> DataFrame:
     """Run the batch-level operators over staged per-batch tables.
 
     `state` may hold the last row an earlier run gave per feed; `tails` and
     `grid` then also hold what of the earlier batches is still in view.
     Everything here works on one row per batch, but for the folded grid.
+    `one_batch` says that no feed has more than one new batch.
     """
+    # One window per step reads its input once; nothing has to be held then.
+    held = stage if span is not None else (lambda df: df)
     arrived = facts.select(*BATCH, F.col("event_count").alias("arrived"), F.col("completed_at").alias("newest"))
-    if state is None:
-        counted = volumes(grid, p, arrived=arrived, span=span)
+    if one_batch:
+        counted = volumes_now(grid, arrived, p, initial=state)
+    elif state is None:
+        counted = held(volumes(grid, p, arrived=arrived, span=span))
     else:
-        counted = volumes(grid, p, initial=state, span=span).join(facts.select(*BATCH), BATCH, "left_semi")
-    stall = stall_signal(stage(counted), p, initial=state, span=span)
+        counted = held(volumes(grid, p, initial=state, span=span).join(facts.select(*BATCH), BATCH, "left_semi"))
+    stall = stall_signal(counted, p, initial=state, span=span)
     lag = lag_running(facts, initial=state, span=span)
     p95 = lag_p95(tails, p, span=span)
     # A batch without event times has no sample.
     joined = lag.join(p95, BATCH, "left").fillna(0, ["sample_count", "p95_lag_ms"]).join(stall, BATCH)
-    scored = stage(anomaly(joined, p))
-    return breaker(scored, p, resets, initial=state, span=span)
+    return breaker(held(anomaly(joined, p)), p, resets, initial=state, span=span)
 
 
 def signals(

@@ -97,6 +97,29 @@ def volumes(
     return summed.select(*BATCH, "clock", "arrived", "short_volume", "baseline_total")
 
 
+def volumes_now(grid: DataFrame, arrived: DataFrame, p: Policy, initial: DataFrame | None = None) -> DataFrame:
+    """`volumes` for one new batch per feed: one pass over what is still in view.
+
+    At a single clock no expiry has to be placed, the two bounds suffice.
+    """
+    short, base = p.short_window_seconds * 1000, p.baseline_window_seconds * 1000
+    clocks = running(arrived, ["feed"], ["batch_id"], maxes={"clock": F.col("newest")}, initial=initial, span=None)
+    bucket_end = F.expr(f"(floor(occurred_at / {short}) + 1) * {short}")
+    counted = (
+        grid.join(clocks.select("feed", "clock"), "feed")
+        .groupBy("feed")
+        .agg(
+            F.sum(F.when(bucket_end > F.col("clock") - short, F.col("n"))).alias("short_volume"),
+            F.sum(F.when(F.col("occurred_at") >= F.col("clock") - base, F.col("n"))).alias("baseline_total"),
+        )
+    )
+    return (
+        clocks.join(counted, "feed", "left")
+        .fillna(0, ["short_volume", "baseline_total"])
+        .select(*BATCH, "clock", "arrived", "short_volume", "baseline_total")
+    )
+
+
 def _first_batch_at(instants: DataFrame, clocks: DataFrame) -> DataFrame:
     """For each (feed, at), the first batch with clock >= at; none if never.
 

@@ -34,6 +34,10 @@ from dqstream.session import configure
 FEW_BATCHES = 10_000
 
 
+# Keys accepted per window-long slot and epoch.
+_ACCEPTED = "idempotency_key string, received_at bigint, slot bigint, epoch bigint"
+
+
 class HaltedError(RuntimeError):
     """The breaker halted a batch; add a reset and start again."""
 
@@ -68,7 +72,7 @@ class Gate:
     def _epoch(self, spark: SparkSession, checked: DataFrame, epoch: int) -> None:
         p = self.policy
         facts = stage(batch_facts(checked, p))
-        batches = facts.count()
+        batches, feeds = facts.agg(F.count(F.lit(1)), F.count_distinct("feed")).first()
         if batches == 0:
             return
         state = self._last(spark, "state", epoch)
@@ -76,7 +80,9 @@ class Gate:
         grid = self._also(stage(volume_grid(checked)), self._last(spark, "ledger", epoch))
         resets = self._new_resets(spark, state)
         span = None if batches <= FEW_BATCHES else SPAN
-        rows = stage(combine(facts, tails, grid, p, resets, state, span))
+        rows = combine(facts, tails, grid, p, resets, state, span, one_batch=batches == feeds)
+        if span is not None:
+            rows = stage(rows)
         counted = al.alert_streaks(rows, p, resets, state, span)
         judged = stage(al.halt_alerts(counted, initial=state, span=span))
 
@@ -122,7 +128,7 @@ class Gate:
             # Slots are as long as the window, so the bound prunes folders.
             oldest = keyed.agg(F.min("received_at").alias("t")).first()["t"]
             if oldest is not None:
-                stored = spark.read.parquet(self._path(where)).filter(
+                stored = spark.read.schema(_ACCEPTED).parquet(self._path(where)).filter(
                     (F.col("slot") >= (oldest - gap) // gap)
                     & (F.col("received_at") >= oldest - gap)
                     & (F.col("epoch") < epoch)
