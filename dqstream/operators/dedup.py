@@ -139,10 +139,11 @@ def _next_instants(instants: DataFrame, gap: int) -> DataFrame:
     probes = instants.select("k", (F.col("t") + gap).alias("at"), F.col("t").alias("src"))
     marks = instants.select("k", F.col("t").alias("at"), F.col("t").alias("hit"))
     mixed = probes.unionByName(marks, allowMissingColumns=True).withColumn("slot", F.expr(f"at div {width}L"))
-    ahead = W.partitionBy("k", "slot").orderBy("at").rangeBetween(1, W.unboundedFollowing)
+    # Backwards, so that the frame grows from row to row.
+    ahead = W.partitionBy("k", "slot").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, -1)
     inside = mixed.withColumn("near", F.min("hit").over(ahead)).filter("src IS NOT NULL")
     slots = mixed.groupBy("k", "slot").agg(F.min("hit").alias("first_hit"))
-    later = W.partitionBy("k").orderBy("slot").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("k").orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, -1)
     beyond = slots.select("k", "slot", F.min("first_hit").over(later).alias("next_hit"))
     return inside.join(beyond, ["k", "slot"]).select(
         "k", F.col("src").alias("t"), F.coalesce("near", "next_hit").alias("nxt")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dqstream.contract import BATCH, HALT
 from dqstream.functions import keys
+from dqstream.operators.intake import backpressure_flag
 from dqstream.policy import Policy
 
 # Upper bucket edges.
@@ -83,14 +84,24 @@ def latest_gauges(h: DataFrame, p: Policy) -> DataFrame:
     return last.select("feed", _pairs("gauge", "value", {n: F.col(f"__g.{n}") for n in made}))
 
 
-def rollout_counts(keyed_clean: DataFrame, p: Policy) -> DataFrame:
-    """Clean records per feed and how many of them go to the shadow copy."""
+def rollout_counts(keyed_clean: DataFrame, lag: DataFrame, p: Policy) -> DataFrame:
+    """Clean records per feed, those of the shadow copy, and backpressure per topic."""
     picked = F.lit(False)
     if p.shadow_percentage > 0:
         picked = keys.hash_share(F.col("idempotency_key")) < F.lit(float(p.shadow_percentage))
-    return keyed_clean.groupBy("feed").agg(
-        F.count(F.lit(1)).alias("clean_records"), F.count_if(picked).alias("shadow_routed")
+    counted = keyed_clean.groupBy("feed").agg(
+        F.count(F.lit(1)).alias("__clean"), F.count_if(picked).alias("__shadow")
     )
+    copies = counted.select(
+        F.col("feed").alias("source"),
+        _pairs("metric", "value", {"clean_records": F.col("__clean"), "shadow_routed": F.col("__shadow")}),
+    )
+    pressure = backpressure_flag(lag, p).select(
+        F.col("topic").alias("source"),
+        F.lit("backpressure_active").alias("metric"),
+        F.col("backpressure").cast("bigint").alias("value"),
+    )
+    return copies.unionByName(pressure)
 
 
 def records_rate(h: DataFrame) -> DataFrame:

@@ -130,10 +130,12 @@ def _first_batch_at(instants: DataFrame, clocks: DataFrame) -> DataFrame:
     mixed = instants.unionByName(ticks.withColumn("is_tick", F.lit(True)), allowMissingColumns=True).withColumn(
         "slot", F.expr(f"at div {SLOT_MS}L")
     )
-    ahead = W.partitionBy("feed", "slot").orderBy("at").rangeBetween(W.currentRow, W.unboundedFollowing)
+    # Frames are taken backwards: one that shrinks from the front is recomputed
+    # for every row, one that grows is not.
+    ahead = W.partitionBy("feed", "slot").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, W.currentRow)
     near = mixed.withColumn("near", F.min("tick").over(ahead)).filter("is_tick IS NULL")
     slots = mixed.groupBy("feed", "slot").agg(F.min("tick").alias("first_tick"))
-    later = W.partitionBy("feed").orderBy("slot").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("feed").orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, -1)
     beyond = slots.select("feed", "slot", F.min("first_tick").over(later).alias("next_tick"))
     return (
         near.join(beyond, ["feed", "slot"])

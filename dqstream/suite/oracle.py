@@ -853,9 +853,9 @@ check(
 check(
     "metric_rollout",
     "small_checked lagging",
-    f"""SELECT feed, clean_records, shadow_routed, consumer_lag > 1000 AS backpressure
-FROM (SELECT feed, count(*) AS clean_records, count(*) FILTER ({_SHARE} < 0.07::DOUBLE) AS shadow_routed
-      FROM small_checked WHERE is_valid GROUP BY feed), lagging""",
+    f"""SELECT feed AS source, 'clean_records' AS metric, count(*) AS value FROM small_checked WHERE is_valid GROUP BY feed
+UNION ALL SELECT feed, 'shadow_routed', count(*) FILTER ({_SHARE} < 0.07::DOUBLE) FROM small_checked WHERE is_valid GROUP BY feed
+UNION ALL SELECT topic, 'backpressure_active', CAST(consumer_lag > 1000 AS BIGINT) FROM lagging""",
 )
 part(
     "minutes",

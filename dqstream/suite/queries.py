@@ -763,9 +763,8 @@ def metric_gauges_latest(spark, d):
 
 @query
 def metric_rollout(spark, d):
-    counts = me.rollout_counts(keyed_clean(spark, d), DAYS)
-    lag = it.backpressure_flag(it.consumer_lag(*fx.source_offsets(spark, d)), DAYS.but(throttle_on_lag=1000))
-    return counts.join(lag.select(F.lit("main").alias("feed"), "backpressure"), "feed")
+    lag = it.consumer_lag(*fx.source_offsets(spark, d))
+    return me.rollout_counts(keyed_clean(spark, d), lag, DAYS.but(throttle_on_lag=1000))
 
 
 @query
