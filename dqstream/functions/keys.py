@@ -32,7 +32,7 @@ def clean_key(columns: Sequence[str], topic: str, key_fields: Sequence[str], own
 
 def dead_letter_key(batch_id: Column, violations: Column) -> Column:
     """Key of a dead letter: event id, batch, and its sorted reasons."""
-    reasons = F.array_join(F.array_sort(violations), ".")
+    reasons = F.array_join(F.sort_array(violations), ".")
     return hashed([shown(F.col("event_id")), shown(batch_id), F.lit("dlq"), reasons])
 
 

@@ -59,33 +59,34 @@ def rejected_rows(
     """The `order` values of the rows `dedup_window` leaves out."""
     gap = seconds * 1000
     narrow = df.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(order).alias("o"))
-    # `o` is null for an acceptance of an earlier run: it sorts first.
+    # `o` is null for an acceptance of an earlier run.
     pool = narrow
     if seen is not None:
         earlier = seen.select(
             F.col(key).alias("k"), F.col(time).alias("t"), F.lit(None).cast(narrow.schema["o"].dataType).alias("o")
         )
         pool = narrow.unionByName(earlier)
-    instants = pool.groupBy("k", "t").agg(
-        F.min("o").alias("first_o"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("o").isNull()).alias("old")
-    )
-    # Only keys with several rows can hold a duplicate.
-    sizes = instants.groupBy("k").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("times"))
-    repeated = stage(sizes.filter("rows > 1"))
+    # Only keys with several rows can hold a duplicate; most have one.
+    repeated = stage(pool.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
     if repeated.isEmpty():
         return df.select(order).filter(F.lit(False))
-    several = stage(instants.join(repeated, "k", "left_semi"))
-
-    small = several.join(repeated.filter(F.col("times") <= fold_limit), "k", "left_semi")
-    accepted = _chain_by_fold(small, gap)
-    large = repeated.filter(F.col("times") > fold_limit)
-    if not large.isEmpty():
-        hot = several.join(large, "k", "left_semi")
-        accepted = accepted.unionByName(_chain_by_doubling(hot, gap))
-
+    candidates = stage(pool.join(repeated, "k", "left_semi"))
+    instants = candidates.groupBy("k", "t").agg(
+        F.min("o").alias("first_o"), F.count_if(F.col("o").isNull()).alias("old")
+    )
+    # Keys are parted by their number of instants, not by their rows.
+    sizes = stage(instants.groupBy("k").agg(F.count(F.lit(1)).alias("times")))
+    large = sizes.filter(F.col("times") > fold_limit).select("k")
+    if large.isEmpty():
+        accepted = _chain_by_fold(instants, gap)
+    else:
+        small = sizes.filter(F.col("times") <= fold_limit).select("k")
+        accepted = _chain_by_fold(instants.join(small, "k", "left_semi"), gap).unionByName(
+            _chain_by_doubling(stage(instants.join(large, "k", "left_semi")), gap)
+        )
     kept = accepted.filter("old = 0").select("k", F.col("first_o").alias("o"))
-    candidates = narrow.join(repeated, "k", "left_semi")
-    return candidates.join(kept, ["k", "o"], "left_anti").select(F.col("o").alias(order))
+    fresh = candidates.filter(F.col("o").isNotNull())
+    return fresh.join(kept, ["k", "o"], "left_anti").select(F.col("o").alias(order))
 
 
 def _chain_by_fold(instants: DataFrame, gap: int) -> DataFrame:

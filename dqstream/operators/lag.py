@@ -67,9 +67,11 @@ def ratio(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
 
 
-def lag_tails(df: DataFrame, p: Policy) -> DataFrame:
+def lag_tails(df: DataFrame, p: Policy, counts: DataFrame | None = None) -> DataFrame:
     """Per batch: its event count and the lags of its last samples, in order.
 
+    `counts` may hold `event_count` per batch if it is known already.
+
     Only the last `lag_samples` events of a batch can be in a rolling sample.
     They are cut twice, first in hashed sub-groups, so that no task sorts a
     whole batch; each cut also runs per task ahead of its shuffle.
@@ -83,26 +85,27 @@ def lag_tails(df: DataFrame, p: Policy) -> DataFrame:
     cut = narrow.withColumn("__rn", F.row_number().over(sub)).filter(F.col("__rn") <= keep)
     last = cut.withColumn("__rn", F.row_number().over(whole)).filter(F.col("__rn") <= keep)
     tails = last.groupBy(*BATCH).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "lag_ms"))), lambda s: s["lag_ms"]).alias("tail")
+        F.sort_array(F.collect_list(F.struct("seq", "lag_ms"))).getField("lag_ms").alias("tail")
     )
-    counts = narrow.groupBy(*BATCH).agg(F.count(F.lit(1)).alias("event_count"))
-    return counts.join(tails, BATCH)
+    if counts is None:
+        counts = narrow.groupBy(*BATCH).agg(F.count(F.lit(1)).alias("event_count"))
+    return tails.join(counts.select(*BATCH, "event_count"), BATCH)
 
 
-def lag_p95(tails: DataFrame, p: Policy, span: int | None = SPAN) -> DataFrame:
+def lag_p95(tails: DataFrame, p: Policy, span: int | None = SPAN, fill: int = 16) -> DataFrame:
     """Rolling p95 over the last `lag_samples` lags up to each batch.
 
-    The 0-based index is floor(0.95 n) of the sorted sample. `tails` is read
+    The 0-based index is floor(0.95 n) of the sorted sample. A task takes
+    `fill` samples' worth of events and looks one sample back. `tails` is read
     more than once: stage it.
     """
     keep = p.lag_samples
     ended = running(tails, ["feed"], ["batch_id"], sums={"__end": F.col("event_count")}, span=span)
-    reach = max(span or SPAN, keep)
-    seen = with_reach(ended, "__end", reach, keep)
+    seen = with_reach(ended, "__end", fill * keep, keep)
     recent = W.partitionBy("feed", "__chunk").orderBy("__end").rangeBetween(-(keep - 1), W.currentRow)
     pooled = seen.withColumn("__lags", F.flatten(F.collect_list("tail").over(recent))).filter("__own")
     last = F.slice("__lags", -F.least(F.size("__lags"), F.lit(keep)), keep)
-    ordered = pooled.withColumn("__sorted", F.array_sort(last))
+    ordered = pooled.withColumn("__sorted", F.sort_array(last))
     n = F.size("__sorted")
     index = (n * F.lit(0.95)).cast("int")
     return ordered.select(

@@ -73,6 +73,6 @@ def signals(
     payload for the report, twice for times only.
     """
     facts = stage(batch_facts(validate_events(events, p), p))
-    tails = stage(lag_tails(events, p))
+    tails = stage(lag_tails(events, p, counts=facts))
     grid = stage(volume_grid(events))
     return stage(combine(facts, tails, grid, p, resets, span=span))

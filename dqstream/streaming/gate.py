@@ -76,7 +76,7 @@ class Gate:
         if batches == 0:
             return
         state = self._last(spark, "state", epoch)
-        tails = self._also(stage(lag_tails(checked, p)), self._last(spark, "tails", epoch))
+        tails = self._also(stage(lag_tails(checked, p, counts=facts)), self._last(spark, "tails", epoch))
         grid = self._also(stage(volume_grid(checked)), self._last(spark, "ledger", epoch))
         resets = self._new_resets(spark, state)
         span = None if batches <= FEW_BATCHES else SPAN
