@@ -50,42 +50,30 @@ def is_number_like(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
 
 
-def as_number(value: Column) -> Column:
+def as_number(value: Column, kind: Column) -> Column:
     """The numeric value; a boolean reads 1 or 0."""
     flag = F.try_variant_get(value, "$", "boolean").cast("double")
-    return F.when(type_name(value) == "BOOLEAN", flag).otherwise(F.try_variant_get(value, "$", "double"))
+    return F.when(kind == "BOOLEAN", flag).when(is_number_like(kind), F.try_variant_get(value, "$", "double"))
 
 
-def rule_inputs(wrapped: Column, name: str, rule: FieldRule | None) -> dict[str, Column]:
-    """What the tests of a field read: its type, and its number or text."""
-    value = field(wrapped, name)
-    inputs = {"kind": type_name(value)}
-    if rule is not None and rule.min is not None:
-        inputs["number"] = as_number(value)
-    if rule is not None and rule.accepted_formats:
-        inputs["text"] = F.try_variant_get(wrapped, f"$[0]{_member(name)}", "string")
-    return inputs
-
-
-def rule_column(inputs: dict[str, Column], rule: FieldRule | None) -> Column:
+def rule_column(value: Column, kind: Column, rule: FieldRule | None) -> Column:
     """Reason code of a field, null when it is fine.
 
     A missing field is only missing. Otherwise type, minimum and formats are
     tested in this order and the first failure counts, so there is at most one
     code per field.
     """
-    kind = inputs["kind"]
     verdict = F.when(absent(kind), F.lit(MISSING_FIELD))
     if rule is None:
         return verdict
     if rule.type == "number":
         verdict = verdict.when(~is_number_like(kind), F.lit(INVALID_VALUE))
     if rule.min is not None:
-        low = is_number_like(kind) & (inputs["number"] < F.lit(float(rule.min)))
-        verdict = verdict.when(low, F.lit(INVALID_VALUE))
+        # Null, and so no failure, for what is no number.
+        verdict = verdict.when(as_number(value, kind) < F.lit(float(rule.min)), F.lit(INVALID_VALUE))
     if rule.accepted_formats:
-        unread = (kind == "STRING") & ~format_column(inputs["text"], rule.accepted_formats)
-        verdict = verdict.when(unread, F.lit(INVALID_VALUE))
+        text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        verdict = verdict.when(text.isNotNull() & ~format_column(text, rule.accepted_formats), F.lit(INVALID_VALUE))
     return verdict
 
 

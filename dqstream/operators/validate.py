@@ -88,19 +88,23 @@ def _fenced(df: DataFrame, made: dict[str, Column], keep: list[str]) -> DataFram
 def _read(df: DataFrame, p: Policy, parse: Column) -> tuple[DataFrame, list[Column]]:
     """Parse each payload once and read each required field once.
 
-    Gives the rows with `__strict` and the inputs of the tests, and one reason
-    code column per required field.
+    Gives the rows with `__strict`, the fields and their types, and one reason
+    code column per required field. Each step is a projection of its own: what
+    a later one uses more than once is not computed more than once.
     """
-    wrapped = F.col("__json")
-    reads: dict[str, Column] = {"__strict": pay.is_strict(wrapped, F.col("payload_json"))}
-    verdicts: list[Column] = []
-    for i, name in enumerate(p.required_fields):
-        rule = p.field_rules.get(name)
-        inputs = pay.rule_inputs(wrapped, name, rule)
-        reads.update({f"__{i}_{part}": c for part, c in inputs.items()})
-        verdicts.append(pay.rule_column({part: F.col(f"__{i}_{part}") for part in inputs}, rule))
+    wrapped, fields = F.col("__json"), range(len(p.required_fields))
     parsed = df.withColumn("__json", parse)
-    return parsed.select(*df.columns, *[c.alias(n) for n, c in reads.items()]), verdicts
+    read = parsed.select(
+        *df.columns,
+        pay.is_strict(wrapped, F.col("payload_json")).alias("__strict"),
+        *[pay.field(wrapped, name).alias(f"__v{i}") for i, name in enumerate(p.required_fields)],
+    )
+    typed = read.select("*", *[pay.type_name(F.col(f"__v{i}")).alias(f"__k{i}") for i in fields])
+    verdicts = [
+        pay.rule_column(F.col(f"__v{i}"), F.col(f"__k{i}"), p.field_rules.get(name))
+        for i, name in enumerate(p.required_fields)
+    ]
+    return typed, verdicts
 
 
 def _judge(df: DataFrame, p: Policy, broken: Column | None) -> DataFrame:
@@ -123,7 +127,7 @@ def field_codes(df: DataFrame, p: Policy) -> DataFrame:
     read, verdicts = _read(df, p, pay.strict_variant(F.col("payload_json")))
     made = {"is_json": F.col("__strict")}
     for i, (name, verdict) in enumerate(zip(p.required_fields, verdicts)):
-        made[f"{name}_kind"] = F.when(F.col("__strict"), F.col(f"__{i}_kind"))
+        made[f"{name}_kind"] = F.when(F.col("__strict"), F.col(f"__k{i}"))
         made[f"{name}_code"] = F.when(F.col("__strict"), verdict)
     return _fenced(read, made, df.columns)
 
