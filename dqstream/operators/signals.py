@@ -12,7 +12,7 @@ from dqstream.operators.breaker import breaker
 from dqstream.operators.lag import lag_measures, lag_p95, lag_running, lag_tails
 from dqstream.operators.validate import validate_events
 from dqstream.operators.volume import stall_signal, volume_grid, volumes, volumes_now
-from dqstream.plans.scan import SPAN
+from dqstream.plans.scan import SPAN, span_of
 from dqstream.plans.stage import stage
 from dqstream.policy import Policy
 
@@ -64,9 +64,7 @@ def combine(
     return breaker(held(anomaly(joined, p)), p, resets, initial=state, span=span)
 
 
-def signals(
-    events: DataFrame, p: Policy, resets: DataFrame | None = None, span: int | None = SPAN
-) -> DataFrame:
+def signals(events: DataFrame, p: Policy, resets: DataFrame | None = None) -> DataFrame:
     """One staged row per batch with every signal.
 
     The events are read three times, each time for few columns: once with the
@@ -75,4 +73,4 @@ def signals(
     facts = stage(batch_facts(validate_events(events, p), p))
     tails = stage(lag_tails(events, p, counts=facts))
     grid = stage(volume_grid(events))
-    return stage(combine(facts, tails, grid, p, resets, span=span))
+    return stage(combine(facts, tails, grid, p, resets, span=span_of(facts)))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dqstream.contract import BATCH
-from dqstream.plans.scan import SPAN, running, streaks, with_reach
+from dqstream.plans.scan import SPAN, running, span_of, streaks, with_reach
 from dqstream.plans.stage import stage
 from dqstream.policy import Policy
 
@@ -55,6 +55,7 @@ def volumes(
     short, base = p.short_window_seconds * 1000, p.baseline_window_seconds * 1000
     if arrived is None:
         arrived = stage(grid.groupBy(*BATCH).agg(F.sum("n").alias("arrived"), F.max("newest").alias("newest")))
+        span = span_of(arrived) if span == SPAN else span
     clocks = stage(
         running(arrived, ["feed"], ["batch_id"], maxes={"clock": F.col("newest")}, initial=initial, span=span)
     )

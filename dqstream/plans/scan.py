@@ -19,6 +19,11 @@ _CHUNK = "__chunk"
 _BEFORE_ALL = -(2**62)
 
 
+def span_of(staged: DataFrame) -> int | None:
+    """How to cut a staged table: not at all while one span would hold it."""
+    return None if staged.limit(SPAN + 1).count() <= SPAN else SPAN
+
+
 def running(
     rows: DataFrame,
     by: Sequence[str],

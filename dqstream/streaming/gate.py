@@ -30,9 +30,6 @@ from dqstream.plans.stage import remove, stage, staging
 from dqstream.policy import Policy
 from dqstream.session import configure
 
-# Up to this many batches in an epoch their running values take one window.
-FEW_BATCHES = 10_000
-
 
 # Keys accepted per window-long slot and epoch.
 _ACCEPTED = "idempotency_key string, received_at bigint, slot bigint, epoch bigint"
@@ -79,7 +76,7 @@ class Gate:
         tails = self._also(stage(lag_tails(checked, p, counts=facts)), self._last(spark, "tails", epoch))
         grid = self._also(stage(volume_grid(checked)), self._last(spark, "ledger", epoch))
         resets = self._new_resets(spark, state)
-        span = None if batches <= FEW_BATCHES else SPAN
+        span = None if batches <= SPAN else SPAN
         rows = combine(facts, tails, grid, p, resets, state, span, one_batch=batches == feeds)
         if span is not None:
             rows = stage(rows)

@@ -24,6 +24,7 @@ from dqstream.operators import routing as ro
 from dqstream.operators import validate as va
 from dqstream.operators import volume as vo
 from dqstream.operators.signals import signals
+from dqstream.plans.scan import span_of
 from dqstream.plans.stage import stage
 from dqstream.policy import FieldRule, Policy, starter
 from dqstream.session import configure
@@ -392,8 +393,13 @@ def resets(spark, d):
     )
 
 
+def judged(spark, d, control: DataFrame | None = None):
+    report = small_report(spark, d)
+    return br.breaker(report, DAYS, control, span=span_of(report))
+
+
 def outcomes(spark, d):
-    return stage(br.breaker(small_report(spark, d), DAYS, stage(resets(spark, d))))
+    return stage(judged(spark, d, stage(resets(spark, d))))
 
 
 @query
@@ -404,18 +410,19 @@ def breaker_class(spark, d):
 
 @query
 def breaker_streak(spark, d):
-    counted = br.failure_streak(br.classify(br.with_resets(small_report(spark, d), None), DAYS))
+    report = small_report(spark, d)
+    counted = br.failure_streak(br.classify(br.with_resets(report, None), DAYS), span=span_of(report))
     return counted.select(*BATCH, "failure_streak")
 
 
 @query
 def breaker_outcome(spark, d):
-    return br.breaker(small_report(spark, d), DAYS).select(*BATCH, "outcome", "breaker_open")
+    return judged(spark, d).select(*BATCH, "outcome", "breaker_open")
 
 
 @query
 def breaker_with_reset(spark, d):
-    rows = br.breaker(small_report(spark, d), DAYS, stage(resets(spark, d)))
+    rows = judged(spark, d, stage(resets(spark, d)))
     return rows.select(*BATCH, "batch_class", "failure_streak", "outcome", "breaker_open")
 
 
@@ -533,7 +540,8 @@ def batch_late_counts(spark, d):
 
 
 def lag_totals(spark, d):
-    return la.lag_running(stage(la.lag_batches(fx.time_batches(spark, d), P)))
+    batches = stage(la.lag_batches(fx.time_batches(spark, d), P))
+    return la.lag_running(batches, span=span_of(batches))
 
 
 @query
@@ -548,7 +556,8 @@ def late_ratio(spark, d):
 
 @query
 def lag_p95_rolling(spark, d):
-    return la.lag_p95(stage(la.lag_tails(fx.envelopes(spark, d), P)), P)
+    tails = stage(la.lag_tails(fx.envelopes(spark, d), P))
+    return la.lag_p95(tails, P, span=span_of(tails))
 
 
 @query
@@ -579,7 +588,8 @@ def stall_signal(spark, d):
 
 @query
 def stall_streak(spark, d):
-    rows = vo.stall_signal(stage(day_volumes(spark, d)), DAYS)
+    counted = stage(day_volumes(spark, d))
+    rows = vo.stall_signal(counted, DAYS, span=span_of(counted))
     return rows.select(
         *BATCH,
         "stall_active",
@@ -641,7 +651,8 @@ def anomaly_details(spark, d):
 
 
 def fired(spark, d, with_reset: bool = False):
-    return al.alerts(all_signals(spark, d), DAYS, stage(resets(spark, d)) if with_reset else None)
+    rows = all_signals(spark, d)
+    return al.alerts(rows, DAYS, stage(resets(spark, d)) if with_reset else None, span=span_of(rows))
 
 
 def one_rule(spark, d, rule: str):
@@ -675,7 +686,8 @@ def alert_anomaly(spark, d):
 
 @query
 def alert_halt(spark, d):
-    rows = al.halt_alert_rows(outcomes(spark, d), stage(resets(spark, d)))
+    rows = outcomes(spark, d)
+    rows = al.halt_alert_rows(rows, stage(resets(spark, d)), span=span_of(rows))
     return rows.select(*BATCH, "level", "runbook_key")
 
 
@@ -687,7 +699,9 @@ def alert_with_reset(spark, d):
 @query
 def alerts_fired(spark, d):
     rows, control = all_signals(spark, d), stage(resets(spark, d))
-    everything = al.alerts(rows, DAYS, control).unionByName(al.halt_alert_rows(rows, control))
+    span = span_of(rows)
+    fired_rows = al.alerts(rows, DAYS, control, span=span)
+    everything = fired_rows.unionByName(al.halt_alert_rows(rows, control, span=span))
     return al.fired_levels(everything).withColumn("levels", joined("levels", ";"))
 
 
