@@ -20,7 +20,8 @@ RULES = ["stall", "null_rate", "schema", "lag", "anomaly", "halt"]
 # Fixed value: from this streak on a stall points to the long-stall runbook.
 LONG_STALL = 3
 
-# What to do, by runbook key; a deployment may bring its own table.
+# What to do, by runbook key. The keys are fixed values; a deployment may bring
+# its own texts as a table.
 RUNBOOKS = {
     "null_rate_warning": "Required fields are going missing. Look for renamed or dropped fields upstream.",
     "null_rate_critical": "Many required fields are missing. Page the owner of the producing service.",

@@ -25,23 +25,38 @@ EVENTS = T.StructType(
 )
 
 
-def read_topic(spark: SparkSession, p: Policy, fmt: str = "json", streaming: bool = True) -> DataFrame:
+def read_topic(
+    spark: SparkSession, p: Policy, fmt: str = "json", streaming: bool = True, cap_batch: bool = False
+) -> DataFrame:
     """Envelopes from the input topic, from the earliest offset.
 
-    Needs the Kafka package on the classpath. The rate limit of the policy
-    becomes the source's own limit per trigger; offsets are kept by the
+    Needs the Kafka package on the classpath. A micro-batch takes what has come
+    in since the last one; the policy's rate limit, or with `cap_batch` its
+    batch size, bounds the records per trigger. Offsets are kept by the
     checkpoint, so nothing is committed before a batch is through.
     """
-    reader = (spark.readStream if streaming else spark.read).format("kafka")
-    reader = reader.option("kafka.bootstrap.servers", p.bootstrap_servers).option("subscribe", p.input_topic)
-    reader = reader.option("startingOffsets", "earliest")
-    limit = reading_limit(p)
-    if streaming:
-        reader = reader.option("kafka.group.id", p.consumer_group)
-        reader = reader.option("maxOffsetsPerTrigger", str(limit if limit is not None else p.batch_size))
+    reader = (spark.readStream if streaming else spark.read).format("kafka").options(**topic_options(p))
+    limit = trigger_limit(p, cap_batch)
+    if streaming and limit is not None:
+        reader = reader.option("maxOffsetsPerTrigger", str(limit))
     return from_transport(reader.load(), fmt)
 
 
+def topic_options(p: Policy) -> dict[str, str]:
+    return {
+        "kafka.bootstrap.servers": p.bootstrap_servers,
+        "subscribe": p.input_topic,
+        "startingOffsets": "earliest",
+        "groupIdPrefix": p.consumer_group,
+    }
+
+
+def trigger_limit(p: Policy, cap_batch: bool) -> int | None:
+    """The tighter of rate limit and, if asked for, batch size."""
+    limits = [reading_limit(p), p.batch_size if cap_batch else None]
+    return min((n for n in limits if n is not None), default=None)
+
+
 def from_transport(raw: DataFrame, fmt: str = "json") -> DataFrame:
     """Transport rows as events: decoded, with position and receive time."""
     placed = drop_tombstones(raw).select(

@@ -125,6 +125,7 @@ class Gate:
             # Slots are as long as the window, so the bound prunes folders.
             oldest = keyed.agg(F.min("received_at").alias("t")).first()["t"]
             if oldest is not None:
+                self._forget_slots(spark, where, (oldest - gap) // gap)
                 stored = spark.read.schema(_ACCEPTED).parquet(self._path(where)).filter(
                     (F.col("slot") >= (oldest - gap) // gap)
                     & (F.col("received_at") >= oldest - gap)
@@ -201,11 +202,22 @@ class Gate:
         return spark.read.parquet(self._path(name, max(earlier))) if earlier else None
 
     def _epochs(self, spark: SparkSession, name: str) -> list[int]:
+        return self._folders(spark, name, "epoch")
+
+    def _folders(self, spark: SparkSession, name: str, key: str) -> list[int]:
+        """Values of the partition folders `key=...` of a table."""
         if not self._exists(spark, name):
             return []
         path = spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
         listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-        return [int(s.getPath().getName().split("=")[1]) for s in listed]
+        names = [s.getPath().getName() for s in listed]
+        return [int(n.split("=")[1]) for n in names if n.startswith(f"{key}=")]
+
+    def _forget_slots(self, spark: SparkSession, name: str, first: int) -> None:
+        """Drop accepted keys out of reach; one more window is kept for an epoch that runs again."""
+        for slot in self._folders(spark, name, "slot"):
+            if slot < first - 1:
+                remove(spark, f"{self._path(name)}/slot={slot}")
 
     def _complete(self, spark: SparkSession, epoch: int) -> bool:
         """The ledger is written last; with it an epoch's state is whole."""

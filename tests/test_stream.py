@@ -139,6 +139,11 @@ def test_dedup_across_epochs_and_dry_run(spark, tmp_path):
     clean = spark.read.parquet(str(tmp_path / "out" / "clean")).orderBy("epoch")
     got = [(r["epoch"], json.loads(r["value"])["event_id"]) for r in clean.collect()]
     assert sorted(got) == [(0, "a"), (0, "b"), (1, "b"), (2, "a")]
+    # Much later: keys out of reach are accepted again and their slots are gone.
+    gate(live(spark, [event(8, at=t0 + 600_000, event_id="a")]), 3)
+    assert spark.read.parquet(str(tmp_path / "out" / "clean")).filter("epoch = 3").count() == 1
+    slots = [f.name for f in (tmp_path / "out" / "accepted_clean").iterdir() if f.name.startswith("slot=")]
+    assert slots == [f"slot={(t0 + 600_010) // 60_000}"]
 
     dry = Gate(DAYS.but(mode="dry_run"), str(tmp_path / "dry"))
     dry(live(spark, [event(i, "broken") for i in range(3)]), 0)

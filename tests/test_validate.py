@@ -7,11 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dqstream.contract import ENVELOPE, REQUIRED_ENVELOPE
+from dqstream.contract import ENVELOPE, ENVELOPE_AVRO, REQUIRED_ENVELOPE
 from dqstream.functions import payload as pay
 from dqstream.functions.timefmt import is_epoch_millis, is_iso8601
 from dqstream.operators import validate as va
 from dqstream.policy import FieldRule, starter
+from dqstream.sources.readers import topic_options, trigger_limit
 
 OK = {"user_id": "u", "timestamp": "2024-01-15T10:30:00Z", "price": 29.99}
 MISSING, INVALID = "missing_required_field", "invalid_field_value"
@@ -169,6 +170,19 @@ def test_encode_then_decode_gives_the_same_envelope(spark):
         va.decode_envelopes(broken, fmt="xml")
 
 
+def test_contract_forms_agree():
+    fields = json.loads(ENVELOPE_AVRO)["fields"]
+    assert [f["name"] for f in fields] == ENVELOPE.fieldNames()
+    assert [f["name"] for f in fields if "default" not in f] == REQUIRED_ENVELOPE
+
+
+def test_topic_options_and_trigger_limit():
+    p = starter(rate_limit_records_per_sec=10, batch_timeout_ms=5000, batch_size=40)
+    assert topic_options(p)["startingOffsets"] == "earliest" and topic_options(p)["subscribe"] == "raw_events"
+    assert (trigger_limit(p, False), trigger_limit(p, True)) == (50, 40)
+    assert (trigger_limit(starter(), False), trigger_limit(starter(), True)) == (None, 100)
+
+
 def test_occurred_at_kinds(spark):
     times = spark.sql("SELECT timestamp'2024-01-15 10:30:00.123456' AS occurred_at")
     assert va.normalize_occurred_at(times).first()[0] == 1705314600123
