@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from dqstream.suite import oracle
 from dqstream.suite import queries as suite
 
 
@@ -45,13 +46,14 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "D
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(suite.all_queries()) == set(oracle.all_sql())
+    assert set(suite.all_queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(suite.all_queries()))
 def test_query_equals_sql(spark, sf_dir, duck, name):
-    df = entry.queries()[name](spark, sf_dir)
-    want = duck.sql(entry.oracle_sql()[name])
+    df = suite.all_queries()[name](spark, sf_dir)
+    want = duck.sql(oracle.all_sql()[name])
     assert {c: TYPES[t] for c, t in df.dtypes} == {c: str(t) for c, t in zip(want.columns, want.types)}
     assert cells(df.collect(), df.columns) == cells(want.fetchall(), want.columns)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -64,16 +66,16 @@ def test_entry_runs(spark):
 
 
 def test_only_the_needed_columns_are_read(spark, sf_dir):
-    plan = entry.queries()["event_lag"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = suite.all_queries()["event_lag"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     read = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert read == "struct<event_id:bigint,ts:timestamp_ntz>"
 
 
 def test_first_seen_is_cut_before_the_shuffle(spark, sf_dir):
-    plan = entry.queries()["dedup_first_seen"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = suite.all_queries()["dedup_first_seen"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan.split("Exchange")[-1]
 
 
 def test_report_folds_before_the_shuffle(spark, sf_dir):
-    plan = entry.queries()["batch_quality_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = suite.all_queries()["batch_quality_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_count" in plan.split("Exchange")[-1]
