@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dqstream.llm import token_files
+from dqstream.llm import packing, simhash, token_files
 from dqstream.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), VOCABULARY))
+
+
+def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_folder(spark)
     token_files.write_tokens(read(spark, sf_dir, "documents"), folder, VOCABULARY)
@@ -20,7 +28,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op10_token_files]
+    made = [op3_packing, op8_simhash_trie, op10_token_files]
     return {q.__name__: q for q in made}
 
 
