@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dqstream.llm import packing, simhash, token_files
+from dqstream.llm import decontam, packing, simhash, token_files
 from dqstream.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_packing, op8_simhash_trie, op10_token_files]
+    made = [op3_packing, op7_suffix_array_decontamination, op8_simhash_trie, op10_token_files]
     return {q.__name__: q for q in made}
 
 
