@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dqstream.llm import decontam, packing, simhash, token_files
+from dqstream.llm import decontam, packing, quality, simhash, token_files, toxicity
 from dqstream.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op5_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -25,6 +30,11 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_folder(spark)
     token_files.write_tokens(read(spark, sf_dir, "documents"), folder, VOCABULARY)
@@ -32,7 +42,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_packing, op7_suffix_array_decontamination, op8_simhash_trie, op10_token_files]
+    made = [op3_packing, op5_toxicity_machine, op7_suffix_array_decontamination, op8_simhash_trie, op9_quality_machine, op10_token_files]
     return {q.__name__: q for q in made}
 
 
