@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dqstream.llm import decontam, packing, quality, simhash, token_files, toxicity
+from dqstream.llm import decontam, packing, privacy, quality, secrets, simhash, token_files, toxicity
 from dqstream.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.find(read(spark, sf_dir, "documents"))
+
+
+def op2_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -42,7 +50,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_packing, op5_toxicity_machine, op7_suffix_array_decontamination, op8_simhash_trie, op9_quality_machine, op10_token_files]
+    made = [op1_private_data, op2_secret_entropy, op3_packing, op5_toxicity_machine, op7_suffix_array_decontamination, op8_simhash_trie, op9_quality_machine, op10_token_files]
     return {q.__name__: q for q in made}
 
 
