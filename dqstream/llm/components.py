@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqstream.plans.stage import stage
 
 
+class Forest:
+    """Groups of positions; the root is the smallest position."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        while True:
+            ra, rb = root[a], root[b]
+            apart = ra != rb
+            if not apart.any():
+                return
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root[:] = up
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of `edges` (a, b); root is the smallest node reached.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dqstream.llm import decontam, packing, privacy, quality, secrets, simhash, token_files, toxicity
+from dqstream.llm import decontam, packing, privacy, quality, secrets, simhash, token_files, toxicity, vectors
 from dqstream.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op4_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -50,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_private_data, op2_secret_entropy, op3_packing, op5_toxicity_machine, op7_suffix_array_decontamination, op8_simhash_trie, op9_quality_machine, op10_token_files]
+    made = [op1_private_data, op2_secret_entropy, op3_packing, op4_embedding_tiles, op5_toxicity_machine, op7_suffix_array_decontamination, op8_simhash_trie, op9_quality_machine, op10_token_files]
     return {q.__name__: q for q in made}
 
 

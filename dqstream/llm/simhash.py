@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqstream.llm.common import LOWER, _arrow_schema, per_row
-from dqstream.llm.components import components
+from dqstream.llm.components import Forest, components
 from dqstream.plans.stage import stage
 
 SHINGLE = 4
@@ -63,28 +63,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return per_row(docs, "fp bigint", lambda ids, texts: [[fingerprint(t) for t in texts]])
 
 
-class Forest:
-    """Groups of positions; the root is the smallest position."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        root = self.root
-        while True:
-            ra, rb = root[a], root[b]
-            apart = ra != rb
-            if not apart.any():
-                return
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root[:] = up
-
-
 def walk(keys: np.ndarray, roots: list[tuple[int, int, int]], budget: int = BUDGET) -> Forest:
     """Join the subtrees of sorted distinct 64-bit `keys`; `roots` are (from, to, depth)."""
     groups = Forest(len(keys))
