@@ -7,12 +7,33 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dqstream.llm import decontam, packing, privacy, quality, secrets, simhash, token_files, toxicity, vectors
+from dqstream.llm import decontam, packing, privacy, quality, secrets, sharding, simhash, token_files, toxicity, vectors
 from dqstream.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+# Every document tries all depths up to 32 bits, which part any two of these tables' rows.
+_SHARDS_SQL = f"""
+WITH hashed AS (
+    SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, chr(0) || 'null')), 1, 15))::BIGINT AS h
+    FROM documents
+), tried AS (
+    SELECT doc_id, n_bytes, h, d AS depth, h >> (60 - d) AS prefix FROM hashed, range(33) t(d)
+), nodes AS (
+    SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs
+    FROM tried GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT} OR count(*) = 1
+), settled AS (
+    SELECT doc_id, n_bytes, h, min(depth) AS depth FROM tried JOIN nodes USING (depth, prefix) GROUP BY ALL
+)
+SELECT doc_id, n_bytes,
+       CASE WHEN settled.depth = 0 THEN '' ELSE lpad(bin(h >> (60 - settled.depth)), settled.depth::INTEGER, '0') END AS shard,
+       settled.depth::INTEGER AS depth, 0::BIGINT AS page, shard_bytes, shard_docs
+FROM settled JOIN nodes ON nodes.depth = settled.depth AND nodes.prefix = h >> (60 - settled.depth)
+"""
+
+
 def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.find(read(spark, sf_dir, "documents"))
 
@@ -34,6 +55,10 @@ def op5_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -54,9 +79,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_private_data, op2_secret_entropy, op3_packing, op4_embedding_tiles, op5_toxicity_machine, op7_suffix_array_decontamination, op8_simhash_trie, op9_quality_machine, op10_token_files]
+    made = [op1_private_data, op2_secret_entropy, op3_packing, op4_embedding_tiles, op5_toxicity_machine, op6_extendible_shards, op7_suffix_array_decontamination, op8_simhash_trie, op9_quality_machine, op10_token_files]
     return {q.__name__: q for q in made}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op6_extendible_shards": _SHARDS_SQL}
