@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,20 +34,33 @@ def slim(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def per_row(docs: DataFrame, schema: str, made: Callable[[list, list], list], key: str = "doc_id") -> DataFrame:
-    """`made(ids, texts)` gives one list per output column after the id, for each Arrow batch."""
-    kind = docs.schema[key].dataType.simpleString()
-    out = _arrow_schema(docs.sparkSession, f"{key} {kind}, {schema}")
+def per_row(docs: DataFrame, schema: str, made: Callable[[list], list], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The key columns, and one column per list that `made(texts)` gives for each Arrow batch."""
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", " + schema
+    out = _arrow_schema(docs.sparkSession, schema)
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            columns = made(ids.to_pylist(), texts)
-            arrays = [ids.cast(out.field(0).type)]
-            arrays += [pa.array(c, out.field(i + 1).type) for i, c in enumerate(columns)]
+            arrays = [batch.column(i).cast(out.field(i).type) for i in range(n)]
+            columns = made(batch.column(n).to_pylist())
+            arrays += [pa.array(c, out.field(n + i).type) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-    return slim(docs, key, "text").mapInArrow(run, f"{key} {kind}, {schema}")
+    return slim(docs, *keys, "text").mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, choose: Callable[[], Callable[[list], list[bool]]], inputs: Sequence[str]) -> DataFrame:
+    """Whole rows of `docs` for which a chooser, made once per task, says yes."""
+    small_batches(docs.sparkSession)
+    at = [docs.columns.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = choose()
+        for batch in batches:
+            yield batch.filter(pa.array(chosen(list(zip(*[batch.column(i).to_pylist() for i in at]))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqstream.llm.common import _arrow_schema, slim
+from dqstream.llm.common import _arrow_schema, slim, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
 # A shard is closed once its kept stretches hold this many words.
 SHARD_WORDS = 1 << 21
+# Where whole rows are held with it, also once they hold this many bytes.
+SHARD_BYTES = 64 << 20
 
 # Lower case, and a space for every ASCII character that is no digit or letter.
 _WORD = bytes(
@@ -267,5 +269,33 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark, with all their columns."""
-    clean = find_contamination(docs, benchmark, window).where("not contaminated").select("doc_id")
-    return docs.join(clean.distinct(), "doc_id", "left_semi")
+    small_batches(docs.sparkSession)
+    blocks = blocks_of(benchmark)
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = [Shard(b, window) for b in blocks]
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            first = sum(b.num_rows for b in held)
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                for shard in shards:
+                    shard.add(first + i, words_of(text))
+            held.append(batch)
+            if sum(s.words for s in shards) >= SHARD_WORDS or sum(b.nbytes for b in held) >= SHARD_BYTES:
+                yield from _unhit(held, shards)
+                held = []
+        yield from _unhit(held, shards)
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _unhit(held: list[pa.RecordBatch], shards: list[Shard]) -> Iterator[pa.RecordBatch]:
+    keep = np.ones(sum(b.num_rows for b in held), bool)
+    for shard in shards:
+        keep[shard.hits()[0]] = False
+        shard.clear()
+    at = 0
+    for batch in held:
+        yield batch.filter(pa.array(keep[at : at + batch.num_rows]))
+        at += batch.num_rows

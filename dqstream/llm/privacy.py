@@ -248,7 +248,7 @@ def find(docs: DataFrame) -> DataFrame:
     The texts are read once; what is kept of them is the candidates.
     """
 
-    def propose(_: list, texts: list) -> list[list]:
+    def propose(texts: list) -> list[list]:
         return [[[v for c in candidates(t) for v in c] for t in texts]]
 
     held = stage(per_row(docs, "found array<bigint>", propose))

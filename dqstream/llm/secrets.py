@@ -137,7 +137,7 @@ def shown(spans: list[Span]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
 
-    def made(_: list, texts: list) -> list[list]:
+    def made(texts: list) -> list[list]:
         rows = []
         for text in texts:
             base, every = spans_of(text)

@@ -16,12 +16,12 @@ column but doc_id and text is looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqstream.llm.common import LOWER, _arrow_schema, per_row
@@ -58,9 +58,9 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a BIGINT."""
-    return per_row(docs, "fp bigint", lambda ids, texts: [[fingerprint(t) for t in texts]])
+def fingerprints(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The key columns and the fingerprint as a BIGINT `fp`."""
+    return per_row(docs, "fp bigint", lambda texts: [[fingerprint(t) for t in texts]], keys)
 
 
 def walk(keys: np.ndarray, roots: list[tuple[int, int, int]], budget: int = BUDGET) -> Forest:
@@ -186,14 +186,29 @@ def _edges(rows: np.ndarray, out: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], schema=out)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    prints = stage(fingerprints(docs))
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def grouped(prints: DataFrame, first: Column) -> DataFrame:
+    """Rows (fp, first): for each fingerprint the smallest `first` among all documents reached."""
+    classes = stage(prints.groupBy("fp").agg(F.min(first).alias("first")))
     roots = components(links(classes.select("fp")))
     linked = stage(classes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     linked = linked.join(smallest, "root").select("fp", "smallest")
-    classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    return stage(classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("first")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    prints = stage(fingerprints(docs))
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(stage(classes), "fp").select("doc_id", shown, "component_id")
+    groups = grouped(prints, F.col("doc_id"))
+    return prints.join(groups, "fp").select("doc_id", shown, F.col("first").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One whole row of each group: that of the smallest doc_id; of equal ids, and of none, the first read."""
+    names = docs.columns
+    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    prints = stage(fingerprints(numbered, ("doc_id", "__row")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    keep = grouped(prints, first).select(F.col("first.__row").alias("__row"))
+    return numbered.join(keep.distinct(), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in names])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqstream.llm import factorization as fm
-from dqstream.llm.common import bucket_of
+from dqstream.llm.common import bucket_of, keep_rows
 
 THRESHOLD = 0.7
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -47,3 +47,14 @@ def score(docs: DataFrame, machine: fm.Machine) -> DataFrame:
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, machine: fm.Machine) -> DataFrame:
+    """Whole rows of `docs` that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def chooser():
+        model, hasher = shared.value, fm.Hasher()
+        return lambda rows: [model.score(*hasher.row(terms(text))) < THRESHOLD for (text,) in rows]
+
+    return keep_rows(docs, chooser, ["text"])
