@@ -30,10 +30,27 @@ def clean_key(columns: Sequence[str], topic: str, key_fields: Sequence[str], own
     return hashed([shown(F.col("event_id")), F.lit(topic), *rest])
 
 
-def dead_letter_key(batch_id: Column, violations: Column) -> Column:
-    """Key of a dead letter: event id, batch, and its sorted reasons."""
+def dead_letter_key(batch_id: Column, violations: Column, place: Column | None = None) -> Column:
+    """Key of a dead letter: event id, batch, and its sorted reasons.
+
+    A record without an event id goes by its `place`, so that the undecodable
+    records of a batch do not share one key.
+    """
     reasons = F.array_join(F.sort_array(violations), ".")
-    return hashed([shown(F.col("event_id")), shown(batch_id), F.lit("dlq"), reasons])
+    named = shown(F.col("event_id"))
+    if place is not None:
+        named = F.when(F.col("event_id").isNull(), place).otherwise(named)
+    return hashed([named, shown(batch_id), F.lit("dlq"), reasons])
+
+
+def place_of(columns: Sequence[str]) -> Column:
+    """Where a record came from, and a hash of what it held."""
+    known = ["topic", "partition", "offset"]
+    if not all(c in columns for c in known):
+        known = [c for c in ("feed", "seq") if c in columns]
+    held = [F.col(c) for c in ("raw_value", "payload_json") if c in columns]
+    content = F.sha2(F.concat_ws("", *held), 256)
+    return F.concat_ws("/", *[shown(F.col(c)) for c in known], content)
 
 
 def hash_share(key: Column) -> Column:

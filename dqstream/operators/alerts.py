@@ -198,5 +198,5 @@ def fired_levels(fired: DataFrame) -> DataFrame:
 def with_runbook(fired: DataFrame, runbooks: DataFrame) -> DataFrame:
     """Add the runbook text; a key without one gets a note saying so."""
     return fired.join(runbooks, "runbook_key", "left").withColumn(
-        "runbook", F.coalesce("runbook", F.concat(F.lit("No runbook defined for "), F.col("runbook_key")))
+        "runbook", F.coalesce("runbook", F.concat(F.col("runbook_key"), F.lit(": no steps are on file")))
     )

@@ -42,7 +42,11 @@ def with_resets(rows: DataFrame, resets: DataFrame | None) -> DataFrame:
 
 
 def failure_streak(classified: DataFrame, initial: DataFrame | None = None, span: int | None = SPAN) -> DataFrame:
-    """Batches in a row that did not pass; a reset ends the row as well."""
+    """Batches in a row that did not pass; a reset ends the row as well.
+
+    It goes on counting while the breaker is open, and a batch that would pass
+    sets it to zero there too; outcomes do not depend on it then.
+    """
     batch = F.col("__is_batch") == 1
     ends = ~batch | (F.col("batch_class") == PASS)
     return streaks(classified, ["feed"], ORDER, {"failure_streak": (batch, ends)}, initial, span)

@@ -29,7 +29,7 @@ def dedup_window(
     df: DataFrame,
     key: str,
     time: str,
-    order: str,
+    order: str | Sequence[str],
     seconds: int,
     seen: DataFrame | None = None,
     fold_limit: int = FOLD_LIMIT,
@@ -38,27 +38,30 @@ def dedup_window(
 
     A row is a duplicate if its key was accepted at most `seconds` before it;
     duplicates do not prolong the window. `time` is epoch milliseconds and
-    `order`, unique within the table, parts rows of equal time. `seen` may hold
+    `order`, one or more columns unique within the table, parts rows of equal time. `seen` may hold
     (key, time) accepted earlier, one row per key.
 
     The rejected rows are found from narrow columns and only for keys that come
     more than once, then taken out by an anti join.
     """
-    return df.join(rejected_rows(df, key, time, order, seconds, seen, fold_limit), order, "left_anti")
+    rejected = rejected_rows(df, key, time, order, seconds, seen, fold_limit)
+    return df.join(rejected, rejected.columns, "left_anti")
 
 
 def rejected_rows(
     df: DataFrame,
     key: str,
     time: str,
-    order: str,
+    order: str | Sequence[str],
     seconds: int,
     seen: DataFrame | None = None,
     fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """The `order` values of the rows `dedup_window` leaves out."""
     gap = seconds * 1000
-    narrow = df.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(order).alias("o"))
+    parts = [order] if isinstance(order, str) else list(order)
+    place = F.col(parts[0]) if len(parts) == 1 else F.struct(*parts)
+    narrow = df.select(F.col(key).alias("k"), F.col(time).alias("t"), place.alias("o"))
     # `o` is null for an acceptance of an earlier run.
     pool = narrow
     if seen is not None:
@@ -69,7 +72,7 @@ def rejected_rows(
     # Only keys with several rows can hold a duplicate; most have one.
     repeated = stage(pool.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
     if repeated.isEmpty():
-        return df.select(order).filter(F.lit(False))
+        return df.select(*parts).filter(F.lit(False))
     candidates = stage(pool.join(repeated, "k", "left_semi"))
     instants = candidates.groupBy("k", "t").agg(
         F.min("o").alias("first_o"), F.count_if(F.col("o").isNull()).alias("old")
@@ -86,7 +89,10 @@ def rejected_rows(
         )
     kept = accepted.filter("old = 0").select("k", F.col("first_o").alias("o"))
     fresh = candidates.filter(F.col("o").isNotNull())
-    return fresh.join(kept, ["k", "o"], "left_anti").select(F.col("o").alias(order))
+    out = fresh.join(kept, ["k", "o"], "left_anti")
+    if len(parts) == 1:
+        return out.select(F.col("o").alias(parts[0]))
+    return out.select(*[F.col(f"o.{c}").alias(c) for c in parts])
 
 
 def _chain_by_fold(instants: DataFrame, gap: int) -> DataFrame:

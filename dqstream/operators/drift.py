@@ -75,8 +75,7 @@ def value_stats(df: DataFrame, field: str) -> DataFrame:
             F.stddev_samp(x).alias("spread"),
             F.min(x).alias("low"),
             F.max(x).alias("high"),
-            F.coalesce(F.sum(x), F.lit(0.0)).alias("__sum"),
-            F.coalesce(F.sum(x * x), F.lit(0.0)).alias("__squares"),
+            F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("__m2"),
         )
     )
 
@@ -85,7 +84,9 @@ def distribution_drift(df: DataFrame, field: str, p: Policy, span: int | None =
     """Each batch's mean against the values of the trailing batches.
 
     The z-score divides by the spread of the trailing values. A batch without
-    a usable baseline is not flagged.
+    a usable baseline is not flagged. Counts, means and squared deviations of
+    the batches are merged around a common mean, which stays exact where values
+    are large and close together.
     """
     stats = stage(value_stats(df, field))
     placed = running(stats, ["feed"], ["batch_id"], sums={"batch_no": F.lit(1).cast("bigint")}, span=span)
@@ -93,12 +94,18 @@ def distribution_drift(df: DataFrame, field: str, p: Policy, span: int | None =
     past = (
         W.partitionBy("feed", "__chunk").orderBy("batch_no").rangeBetween(-p.drift_trailing_batches, -1)
     )
-    n, total, squares = (F.sum(c).over(past) for c in ("n", "__sum", "__squares"))
-    based = seen.withColumns({"base_n": F.coalesce(n, F.lit(0)), "__t": total, "__q": squares}).filter("__own")
-    variance = (F.col("__q") - F.col("__t") * F.col("__t") / F.col("base_n")) / (F.col("base_n") - 1)
+    # At most one entry per trailing batch.
+    own = F.when(F.col("n") > 0, F.struct("n", "mean", F.col("__m2").alias("m2")))
+    based = seen.withColumn("__past", F.collect_list(own).over(past)).filter("__own")
+    zero = F.lit(0.0)
+    anchor = F.col("__past")[0]["mean"]
+    moved = F.aggregate("__past", zero, lambda done, b: done + b["n"] * (b["mean"] - anchor))
+    apart = lambda b: b["mean"] - F.col("base_mean")
+    squares = F.aggregate("__past", zero, lambda done, b: done + b["m2"] + b["n"] * apart(b) * apart(b))
     scored = (
-        based.withColumn("base_mean", F.when(F.col("base_n") > 0, F.col("__t") / F.col("base_n")))
-        .withColumn("base_spread", F.when(F.col("base_n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))))
+        based.withColumn("base_n", F.aggregate("__past", F.lit(0).cast("bigint"), lambda done, b: done + b["n"]))
+        .withColumn("base_mean", F.when(F.col("base_n") > 0, anchor + moved / F.col("base_n")))
+        .withColumn("base_spread", F.when(F.col("base_n") > 1, F.sqrt(squares / (F.col("base_n") - 1))))
         .withColumn(
             "z_score",
             F.when(F.col("base_spread") > 0, F.abs(F.col("mean") - F.col("base_mean")) / F.col("base_spread")),

@@ -37,11 +37,12 @@ def history_rows(signals: DataFrame) -> DataFrame:
 def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose batch is not stored yet, each batch once.
 
-    The first of equal batches by start time is kept. The join carries the
-    partition column, so only the dates that occur in `rows` are compared.
+    The first of equal batches by start time is kept. A stored batch stays as it
+    is whatever start date it comes with, so the ids of all dates are compared;
+    only those two columns are read.
     """
     once = first_seen(rows, BATCH, ["started_at", "completed_at"])
-    return once.join(stored.select(*BATCH, "started_date"), [*BATCH, "started_date"], "left_anti")
+    return once.join(stored.select(*BATCH), BATCH, "left_anti")
 
 
 def append_new(rows: DataFrame, path: str) -> None:

@@ -39,7 +39,10 @@ def route(validated: DataFrame, outcomes: DataFrame, p: Policy) -> Routes:
 
 def _letter(columns: list[str]) -> dict[str, Column]:
     """The eight fields of a dead letter."""
-    trace, detail = F.col("trace_id"), F.lit("")
+    trace, detail, original = F.col("trace_id"), F.lit(""), F.col("payload_json")
+    if "raw_value" in columns:
+        detail = F.when(F.col("raw_value").isNotNull(), "envelope cannot be decoded").otherwise(detail)
+        original = F.coalesce(original, F.col("raw_value"))
     if "record_trace_id" in columns:
         trace = F.coalesce(F.col("record_trace_id"), trace)
     if "error_detail" in columns:
@@ -52,7 +55,7 @@ def _letter(columns: list[str]) -> dict[str, Column]:
         "batch_id": F.col("batch_id"),
         "trace_id": trace,
         "error_detail": detail,
-        "original_payload_json": F.col("payload_json"),
+        "original_payload_json": original,
     }
 
 
@@ -76,7 +79,8 @@ def with_idempotency_key(df: DataFrame, p: Policy) -> DataFrame:
 
 
 def with_dlq_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("idempotency_key", keys.dead_letter_key(F.col("batch_id"), F.col("violations")))
+    key = keys.dead_letter_key(F.col("batch_id"), F.col("violations"), keys.place_of(df.columns))
+    return df.withColumn("idempotency_key", key)
 
 
 def shadow_sample(keyed: DataFrame, p: Policy) -> DataFrame:
@@ -106,6 +110,18 @@ def dlq_sink_rows(keyed: DataFrame, topic: str) -> DataFrame:
     return sink_rows(keyed, topic, body)
 
 
+def held_back(outcomes: DataFrame, resets: DataFrame | None) -> DataFrame:
+    """Halted batches that no reset releases; they keep a stream from going on.
+
+    A reset with action `release` gives a halted batch up: its events go to the
+    halted output. Any other reset asks for the batch to be judged again.
+    """
+    halted = outcomes.filter(F.col("outcome") == HALT).select(*BATCH)
+    if resets is None or "action" not in resets.columns:
+        return halted
+    return halted.join(resets.filter("action = 'release'").select(*BATCH), BATCH, "left_anti")
+
+
 def dry_run_report(outcomes: DataFrame) -> DataFrame:
     """What routing would do, per batch."""
     return outcomes.select(*BATCH, "outcome", "total_records", "passed", "quarantined")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from dqstream.contract import ENVELOPE, ENVELOPE_AVRO, INVALID_VALUE, MISSING_FIELD, REQUIRED_ENVELOPE, SCHEMA_VIOLATION
 from dqstream.functions import payload as pay
 from dqstream.policy import Policy
+from dqstream.session import check_configured
 
 
 def drop_tombstones(raw: DataFrame) -> DataFrame:
@@ -20,20 +21,26 @@ def decode_envelopes(raw: DataFrame, col: str = "value", fmt: str = "json") -> D
     """Turn an encoded envelope into its nine columns.
 
     A value that cannot be decoded gives null fields, which the structural
-    check then reports. `avro` reads schemaless binary and needs the
+    check then reports, and is kept as `raw_value`. JSON must be exactly one
+    object with nothing after it. `avro` reads schemaless binary and needs the
     spark-avro package on the classpath.
     """
     if fmt == "json":
-        decoded = F.from_json(F.col(col).cast("string"), ENVELOPE)
+        text = F.col(col).cast("string")
+        wrapped = pay.strict_variant(text)
+        whole = pay.is_strict(wrapped, text) & F.try_variant_get(wrapped, "$[0]", "variant").isNotNull()
+        is_object = F.ltrim(text, F.lit(" \t\n\r")).startswith("{")
+        decoded = F.when(whole & is_object, F.from_json(text, ENVELOPE))
     elif fmt == "avro":
         from pyspark.sql.avro.functions import from_avro
 
         decoded = from_avro(F.col(col), ENVELOPE_AVRO, {"mode": "PERMISSIVE"})
     else:
         raise ValueError(f"unknown envelope format: {fmt}")
-    kept = [c for c in raw.columns if c != col and c not in ENVELOPE.fieldNames()]
-    opened = raw.select(*kept, decoded.alias("__e"))
-    return opened.select(*kept, *[F.col(f"__e.{f}").alias(f) for f in ENVELOPE.fieldNames()])
+    kept = [c for c in raw.columns if c not in (col, "raw_value") and c not in ENVELOPE.fieldNames()]
+    opened = raw.select(*kept, F.col(col).cast("string").alias("__raw"), decoded.alias("__e"))
+    undecoded = F.when(F.col("__e").isNull(), F.col("__raw")).alias("raw_value")
+    return opened.select(*kept, *[F.col(f"__e.{f}").alias(f) for f in ENVELOPE.fieldNames()], undecoded)
 
 
 def encode_envelopes(df: DataFrame, fmt: str = "json") -> DataFrame:
@@ -92,6 +99,7 @@ def _read(df: DataFrame, p: Policy, parse: Column) -> tuple[DataFrame, list[Colu
     code column per required field. Each step is a projection of its own: what
     a later one uses more than once is not computed more than once.
     """
+    check_configured(df.sparkSession)
     wrapped, fields = F.col("__json"), range(len(p.required_fields))
     parsed = df.withColumn("__json", parse)
     read = parsed.select(

@@ -136,6 +136,16 @@ def _rules(raw: Mapping[str, Any]) -> dict[str, FieldRule]:
     }
 
 
+def _flag(raw: Any) -> bool:
+    """A truth value, also where a file has it as text."""
+    if isinstance(raw, str):
+        text = raw.strip().lower()
+        if text not in ("true", "false"):
+            raise PolicyError(f"not a truth value: {raw}")
+        return text == "true"
+    return bool(raw)
+
+
 # Where each setting lives in the policy file.
 _FILE_KEYS: dict[str, tuple[str, Any]] = {
     "validation.required_payload_fields": ("required_fields", tuple),
@@ -163,7 +173,7 @@ _FILE_KEYS: dict[str, tuple[str, Any]] = {
     "rollout.mode": ("mode", str),
     "rollout.shadow_topic": ("shadow_topic", str),
     "rollout.shadow_percentage": ("shadow_percentage", float),
-    "idempotency.enabled": ("dedup_enabled", bool),
+    "idempotency.enabled": ("dedup_enabled", _flag),
     "idempotency.dedup_window_seconds": ("dedup_window_seconds", int),
     "idempotency.key_fields": ("key_fields", tuple),
 }

@@ -18,3 +18,10 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def check_configured(spark: SparkSession) -> None:
+    """Refuse to judge payloads under settings that would change the verdicts."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    if spark.conf.get(name, "false") != _SETTINGS[name]:
+        raise RuntimeError("call dqstream.configure(spark) first")

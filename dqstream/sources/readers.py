@@ -58,10 +58,19 @@ def trigger_limit(p: Policy, cap_batch: bool) -> int | None:
 
 
 def from_transport(raw: DataFrame, fmt: str = "json") -> DataFrame:
-    """Transport rows as events: decoded, with position and receive time."""
+    """Transport rows as events: decoded, with position and receive time.
+
+    Topic, partition and offset stay, for dead letters and the context of a batch.
+    """
+    position = F.when(
+        F.col("partition") < _MAX_PARTITIONS, F.col("offset") * _MAX_PARTITIONS + F.col("partition")
+    ).otherwise(F.raise_error(F.lit(f"partition numbers must be below {_MAX_PARTITIONS}")).cast("bigint"))
     placed = drop_tombstones(raw).select(
         F.col("topic").alias("feed"),
-        (F.col("offset") * _MAX_PARTITIONS + F.col("partition")).alias("seq"),
+        "topic",
+        "partition",
+        "offset",
+        position.alias("seq"),
         F.unix_millis("timestamp").alias("received_at"),
         "value",
     )

@@ -36,16 +36,24 @@ _ACCEPTED = "idempotency_key string, received_at bigint, slot bigint, epoch bigi
 
 
 class HaltedError(RuntimeError):
-    """The breaker halted a batch; add a reset and start again."""
+    """The breaker halted a batch; add a reset, to retry or to release it, and start again."""
 
 
 @dataclass
 class Gate:
     """Processes epochs under `root`; use `run_stream` to start it.
 
-    `resets` is a folder of (feed, batch_id) rows. With `stop_on_halt` a halted
-    batch ends the query before its offsets are committed; history and alerts
-    are written first. Otherwise its events go to `halted` and the stream goes on.
+    `resets` is a folder of (feed, batch_id) rows with an optional `action`. With
+    `stop_on_halt` a halted batch ends the query before its offsets are committed.
+    History, alerts and all other batches of the epoch are written first, and the
+    row of the first halt is kept in `halts`. After a reset the epoch runs again:
+    the breaker is closed before the batch, and if it halts by itself, a reset
+    with action `release` sends its events to `halted` and lets the stream go on.
+    Without `stop_on_halt` that is what happens to every halted batch.
+
+    Accepted keys are dropped once they are older than the dedup window and
+    `skew_seconds` before the newest record, which is how far one partition may
+    lag behind another.
     """
 
     policy: Policy
@@ -53,6 +61,7 @@ class Gate:
     resets: str | None = None
     stop_on_halt: bool = True
     feed: str = "main"
+    skew_seconds: int = 86_400
 
     def __call__(self, df: DataFrame, epoch: int) -> None:
         p, spark = self.policy, df.sparkSession
@@ -86,11 +95,16 @@ class Gate:
         fired = al.fired(judged, p).unionByName(al.fired_halts(judged))
         self._write(al.with_runbook(fired, al.runbook_table(spark)), "alerts", epoch)
         self._write_history(hi.history_rows(judged), epoch)
-        halted = judged.filter(F.col("outcome") == HALT)
-        if p.routes and self.stop_on_halt and not halted.isEmpty():
-            first = halted.agg(F.min("batch_id")).first()[0]
-            raise HaltedError(f"batch {first} halted; manual reset required")
-        self._route(spark, checked, judged, epoch)
+        routes = self._route(spark, checked, judged, epoch)
+        if p.routes:
+            halted = judged.filter(F.col("outcome") == HALT)
+            held = ro.held_back(judged, resets) if self.stop_on_halt else halted.limit(0)
+            first = held.agg(F.min("batch_id")).first()[0]
+            if first is not None:
+                hi.history_rows(halted).write.mode("ignore").parquet(self._path("halts", epoch))
+                raise HaltedError(f"batch {first} halted; a reset must retry or release it")
+            if not self.stop_on_halt or resets is not None:
+                self._write(routes.halted.drop("is_valid"), "halted", epoch)
 
         self._write(self._last_rows(state, judged), "state", epoch)
         self._write(self._live_tails(tails), "tails", epoch)
@@ -99,19 +113,18 @@ class Gate:
 
     # -- sinks --------------------------------------------------------------
 
-    def _route(self, spark: SparkSession, checked: DataFrame, judged: DataFrame, epoch: int) -> None:
+    def _route(self, spark: SparkSession, checked: DataFrame, judged: DataFrame, epoch: int) -> ro.Routes:
         p = self.policy
-        if not p.routes:
-            return
         routes = ro.route(checked, judged, p)
+        if not p.routes:
+            return routes
         clean = self._once(spark, ro.with_idempotency_key(routes.clean, p), "clean", epoch)
         dead = self._once(spark, ro.with_dlq_key(routes.dead), "dead", epoch)
         self._write(ro.sink_rows(clean, p.clean_topic), "clean", epoch)
         self._write(ro.dlq_sink_rows(dead, p.error_topic), "dead", epoch)
         if p.shadow_percentage > 0:
             self._write(ro.sink_rows(ro.shadow_sample(clean, p), p.shadow_topic), "shadow", epoch)
-        if not self.stop_on_halt:
-            self._write(routes.halted.drop("is_valid"), "halted", epoch)
+        return routes
 
     def _once(self, spark: SparkSession, keyed: DataFrame, route: str, epoch: int) -> DataFrame:
         """Leave out keys accepted within the window, here or in earlier epochs."""
@@ -123,23 +136,25 @@ class Gate:
         seen = None
         if self._exists(spark, where):
             # Slots are as long as the window, so the bound prunes folders.
-            oldest = keyed.agg(F.min("received_at").alias("t")).first()["t"]
+            oldest, newest = keyed.agg(F.min("received_at"), F.max("received_at")).first()
             if oldest is not None:
-                self._forget_slots(spark, where, (oldest - gap) // gap)
+                self._forget_slots(spark, where, (newest - gap - self.skew_seconds * 1000) // gap)
                 stored = spark.read.schema(_ACCEPTED).parquet(self._path(where)).filter(
                     (F.col("slot") >= (oldest - gap) // gap)
                     & (F.col("received_at") >= oldest - gap)
                     & (F.col("epoch") < epoch)
                 )
                 seen = stored.groupBy("idempotency_key").agg(F.max("received_at").alias("received_at"))
-        kept = de.dedup_window(keyed, "idempotency_key", "received_at", "seq", p.dedup_window_seconds, seen)
+        kept = de.dedup_window(keyed, "idempotency_key", "received_at", ["feed", "seq"], p.dedup_window_seconds, seen)
         marks = kept.select(
             "idempotency_key",
             "received_at",
             F.expr(f"received_at div {gap}L").alias("slot"),
             F.lit(epoch).cast("bigint").alias("epoch"),
         )
-        # A second run of the epoch replaces its own folders.
+        # A second run of the epoch may accept other keys than the first.
+        for slot in self._folders(spark, where, "slot"):
+            remove(spark, f"{self._path(where)}/slot={slot}/epoch={epoch}")
         self._replace(marks, where, ["slot", "epoch"])
         return kept
 
@@ -170,11 +185,13 @@ class Gate:
         """Resets that come after the last batch of their feed."""
         if self.resets is None or not self._exists(spark, None, self.resets):
             return None
-        rows = spark.read.parquet(self.resets).select("feed", "batch_id")
+        rows = spark.read.parquet(self.resets)
+        action = F.col("action") if "action" in rows.columns else F.lit("retry")
+        rows = rows.select("feed", "batch_id", action.alias("action"))
         if state is not None:
             done = state.select("feed", F.col("batch_id").alias("__done"))
             rows = rows.join(done, "feed", "left").filter(F.col("__done").isNull() | (F.col("batch_id") > F.col("__done")))
-        return stage(rows.select("feed", "batch_id").distinct())
+        return stage(rows.select("feed", "batch_id", "action").distinct())
 
     # -- tables -------------------------------------------------------------
 

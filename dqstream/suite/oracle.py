@@ -70,9 +70,15 @@ part(
         ELSE CAST(value AS VARCHAR) END, '}}')
   END AS payload_json,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('trace-', CAST(event_id AS VARCHAR)) END AS trace_id
-FROM events
-WHERE NOT (day(ts) BETWEEN 10 AND 12 AND event_id % 5 <> 0)""",
+FROM events""",
 )
+part(
+    "thin",
+    "env",
+    "SELECT * FROM env WHERE NOT (day(make_timestamp(occurred_at * 1000)) BETWEEN 10 AND 12 AND seq % 5 <> 0)",
+)
+part("thin_small", "thin", "SELECT * REPLACE (seq // 10 AS batch_id) FROM thin")
+part("thin_timed", "thin", "SELECT * REPLACE (received_at // 21600000 AS batch_id) FROM thin")
 part("small", "env", "SELECT * REPLACE (seq // 10 AS batch_id) FROM env")
 part("timed", "env", "SELECT * REPLACE (received_at // 21600000 AS batch_id) FROM env")
 part(
@@ -171,7 +177,7 @@ def _judged(fields: str) -> str:
   FROM {fields})"""
 
 
-for _name in ("env", "small", "copies"):
+for _name in ("env", "thin", "small", "thin_small", "copies"):
     part(f"{_name}_fields", _name, _fields(_name))
     part(f"{_name}_checked", f"{_name}_fields", _judged(f"{_name}_fields"))
 
@@ -197,7 +203,8 @@ FROM (SELECT *, total_records - passed AS quarantined,
 
 
 part("report", "env_checked", _report("env_checked", 0.05))
-part("small_report", "small_checked", _report("small_checked", 0.03))
+for _name in ("small", "thin_small"):
+    part(f"{_name}_report", f"{_name}_checked", _report(f"{_name}_checked", 0.03))
 
 # ---- breaker ---------------------------------------------------------------
 
@@ -206,34 +213,34 @@ part(
     "",
     "SELECT DISTINCT 'main' AS feed, event_id // 10 AS batch_id FROM events WHERE (event_id // 10) % 200 = 150",
 )
-part(
-    "classed",
-    "small_report resets",
-    """SELECT *, CASE WHEN schema_rate_critical THEN 'halt'
-    WHEN quarantined > 0 OR null_rate_warning OR schema_rate_warning THEN 'quarantine' ELSE 'pass' END AS batch_class,
-  (SELECT count(*) FROM resets r WHERE r.batch_id <= s.batch_id) AS epoch
-FROM small_report s""",
-)
 
-
-def _latched(epoch: str) -> str:
+def _latched(classed: str, epoch: str) -> str:
     return f"""SELECT *, coalesce(max(opens) OVER (PARTITION BY {epoch} ORDER BY batch_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS was_open
 FROM (SELECT *, CASE WHEN batch_class = 'halt' AND failure_streak >= 3 THEN 1 ELSE 0 END AS opens
   FROM (SELECT *, count(*) FILTER (batch_class <> 'pass') OVER (PARTITION BY {epoch}, island ORDER BY batch_id)
           AS failure_streak
         FROM (SELECT *, count(*) FILTER (batch_class = 'pass') OVER (PARTITION BY {epoch} ORDER BY batch_id) AS island
-              FROM classed)))"""
+              FROM {classed})))"""
 
 
-part("latched", "classed", _latched("feed"))
-part("latched_reset", "classed", _latched("epoch"))
-part(
-    "outcomes",
-    "latched_reset",
-    """SELECT *, CASE WHEN was_open THEN 'halt' ELSE batch_class END AS outcome,
-  was_open OR opens = 1 AS breaker_open FROM latched_reset""",
-)
+for _pre, _name in (("", "small"), ("thin_", "thin_small")):
+    part(
+        f"{_pre}classed",
+        f"{_name}_report resets",
+        f"""SELECT *, CASE WHEN schema_rate_critical THEN 'halt'
+    WHEN quarantined > 0 OR null_rate_warning OR schema_rate_warning THEN 'quarantine' ELSE 'pass' END AS batch_class,
+  (SELECT count(*) FROM resets r WHERE r.batch_id <= s.batch_id) AS epoch
+FROM {_name}_report s""",
+    )
+    part(f"{_pre}latched", f"{_pre}classed", _latched(f"{_pre}classed", "feed"))
+    part(f"{_pre}latched_reset", f"{_pre}classed", _latched(f"{_pre}classed", "epoch"))
+    part(
+        f"{_pre}outcomes",
+        f"{_pre}latched_reset",
+        f"""SELECT *, CASE WHEN was_open THEN 'halt' ELSE batch_class END AS outcome,
+  was_open OR opens = 1 AS breaker_open FROM {_pre}latched_reset""",
+    )
 part("routed", "small_checked outcomes", "SELECT s.*, o.outcome FROM small_checked s JOIN outcomes o USING (feed, batch_id)")
 
 # ---- monitors --------------------------------------------------------------
@@ -279,11 +286,11 @@ FROM (SELECT *, count(*) FILTER (NOT stalled) OVER (ORDER BY batch_id) AS island
 WINDOW i AS (PARTITION BY island, stalled ORDER BY batch_id)"""
 
 
-for _name in ("timed", "small"):
+for _name in ("timed", "thin_timed", "small", "thin_small"):
     part(f"{_name}_lag", _name, _lag_totals(_name))
     part(f"{_name}_volumes", _name, _volumes(_name))
     part(f"{_name}_stalls", f"{_name}_volumes", _stalls(_name))
-for _name in ("env", "small"):
+for _name in ("env", "thin_small"):
     part(
         f"{_name}_ranked",
         _name,
@@ -293,7 +300,7 @@ for _name in ("env", "small"):
 
 part(
     "signals",
-    "outcomes small_lag small_p95 small_stalls",
+    "thin_outcomes thin_small_lag thin_small_p95 thin_small_stalls",
     """SELECT *, anomaly_score >= 0.5 AS anomaly_active, CASE WHEN anomaly_score >= 0.5 THEN clock END AS anomaly_detected_at
 FROM (SELECT *, 0.4::DOUBLE * volume_score + 0.3::DOUBLE * lag_score + 0.3::DOUBLE * violation_score AS anomaly_score
   FROM (SELECT o.*, l.* EXCLUDE (feed, batch_id), p.* EXCLUDE (feed, batch_id), s.* EXCLUDE (feed, batch_id),
@@ -302,8 +309,8 @@ FROM (SELECT *, 0.4::DOUBLE * volume_score + 0.3::DOUBLE * lag_score + 0.3::DOUB
       CASE WHEN l.max_seen_lag_ms >= 60000 THEN least(l.late_ratio * 5.0::DOUBLE, 1.0::DOUBLE)
            ELSE least(l.max_seen_lag_ms / 60000.0::DOUBLE * 0.5::DOUBLE, 0.5::DOUBLE) END AS lag_score,
       ((o.quarantined > 0)::INT + o.null_rate_critical::INT + o.schema_rate_critical::INT) / 3.0::DOUBLE AS violation_score
-    FROM outcomes o JOIN small_lag l USING (feed, batch_id) JOIN small_p95 p USING (feed, batch_id)
-      JOIN small_stalls s USING (feed, batch_id)))""",
+    FROM thin_outcomes o JOIN thin_small_lag l USING (feed, batch_id) JOIN thin_small_p95 p USING (feed, batch_id)
+      JOIN thin_small_stalls s USING (feed, batch_id)))""",
 )
 
 
@@ -338,12 +345,13 @@ WHERE level IS NOT NULL"""
 
 part("alerts", "signals", _alerts("feed"))
 part("alerts_reset", "signals", _alerts("epoch"))
-part(
-    "halts",
-    "outcomes",
-    """SELECT feed, min(batch_id) AS batch_id, 'halt' AS rule, 'critical' AS level, 'circuit_breaker_halted' AS runbook_key
-FROM outcomes WHERE outcome = 'halt' GROUP BY feed, epoch""",
-)
+for _pre in ("", "thin_"):
+    part(
+        f"{_pre}halts",
+        f"{_pre}outcomes",
+        f"""SELECT feed, min(batch_id) AS batch_id, 'halt' AS rule, 'critical' AS level,
+  'circuit_breaker_halted' AS runbook_key FROM {_pre}outcomes WHERE outcome = 'halt' GROUP BY feed, epoch""",
+    )
 part(
     "stored",
     "signals",
@@ -378,6 +386,29 @@ check(
   value->>'payload_json' AS payload_json, value->>'trace_id' AS trace_id
 FROM transport WHERE value IS NOT NULL""",
 )
+part(
+    "spoiled",
+    "transport",
+    """SELECT topic, partition, "offset", seq, seq % 5 = 0 AS whole, value->>'event_id' AS event_id,
+  value->>'event_type' IS NULL AS untyped,
+  CASE seq % 5 WHEN 1 THEN value || ' x' WHEN 2 THEN value || value WHEN 3 THEN substr(value, 1, 40)
+    WHEN 4 THEN '[' || value || ']' ELSE ' ' || value || chr(10) END AS raw
+FROM transport WHERE value IS NOT NULL""",
+)
+check(
+    "envelope_decode_strict",
+    "spoiled",
+    """SELECT partition, "offset", CASE WHEN whole THEN event_id END AS event_id,
+  CASE WHEN NOT whole THEN raw END AS raw_value, NOT whole OR untyped AS schema_violation FROM spoiled""",
+)
+check(
+    "undecodable_dead_letters",
+    "spoiled",
+    """SELECT substr(sha256(concat(topic, '/', partition, '/', "offset", '/', sha256(raw), ':', seq // 100,
+    ':dlq:schema_violation')), 1, 32) AS idempotency_key, seq // 100 AS batch_id,
+  'schema_violation' AS reason_codes, 'envelope cannot be decoded' AS error_detail, raw AS original_payload_json
+FROM spoiled WHERE NOT whole""",
+)
 check("envelope_encode_json", "encoded", "SELECT seq, value FROM encoded")
 check("envelope_structural_check", "env", f"SELECT seq, event_id, {_STRUCTURE} AS schema_violation FROM env")
 check(
@@ -410,19 +441,20 @@ check(
     "env_fields",
     """SELECT seq, coalesce(user_code = 'missing_required_field', false) AS user_id_missing,
   coalesce(time_code = 'missing_required_field', false) AS timestamp_missing,
-  coalesce(price_code = 'missing_required_field', false) AS price_missing FROM env_fields WHERE j IS NOT NULL""",
+  coalesce(price_code = 'missing_required_field', false) AS price_missing FROM env_fields WHERE j IS NOT NULL
+UNION ALL SELECT seq, NULL, NULL, NULL FROM env_fields WHERE j IS NULL""",
 )
 check(
     "number_type_rule",
     "env_fields",
-    """SELECT seq, price_kind NOT IN ('VARCHAR', 'OBJECT', 'ARRAY') AS price_is_number
-FROM env_fields WHERE price_kind IS NOT NULL AND price_kind <> 'NULL'""",
+    """SELECT seq, CASE WHEN price_kind <> 'NULL' THEN price_kind NOT IN ('VARCHAR', 'OBJECT', 'ARRAY') END
+  AS price_is_number FROM env_fields""",
 )
 check(
     "min_rule",
     "env_fields",
-    """SELECT seq, CASE WHEN price_kind = 'BOOLEAN' THEN true WHEN price_kind IN ('VARCHAR', 'OBJECT', 'ARRAY') THEN false
-  ELSE price < 10 END AS below_minimum FROM env_fields WHERE price_kind IS NOT NULL AND price_kind <> 'NULL'""",
+    """SELECT seq, CASE WHEN price_kind IS NULL OR price_kind = 'NULL' THEN NULL WHEN price_kind = 'BOOLEAN' THEN true
+  WHEN price_kind IN ('VARCHAR', 'OBJECT', 'ARRAY') THEN false ELSE price < 10 END AS below_minimum FROM env_fields""",
 )
 check(
     "iso8601_format",
@@ -444,14 +476,15 @@ FROM (SELECT seq, CAST(occurred_at AS VARCHAR) AS ms FROM env))""",
 check(
     "format_disjunction",
     "env_fields",
-    """SELECT seq, time_kind = 'VARCHAR' AS is_text, time_code IS NOT NULL AS fails
-FROM env_fields WHERE time_kind IS NOT NULL AND time_kind <> 'NULL'""",
+    """SELECT seq, CASE WHEN time_kind <> 'NULL' THEN time_kind = 'VARCHAR' END AS is_text,
+  CASE WHEN time_kind <> 'NULL' THEN time_code IS NOT NULL END AS fails FROM env_fields""",
 )
 check(
     "field_rule_gating",
     "env_fields",
-    """SELECT seq, coalesce(user_code, '') AS user_id_code, coalesce(time_code, '') AS timestamp_code,
-  coalesce(price_code, '') AS price_code FROM env_fields WHERE j IS NOT NULL""",
+    """SELECT seq, CASE WHEN j IS NOT NULL THEN coalesce(user_code, '') END AS user_id_code,
+  CASE WHEN j IS NOT NULL THEN coalesce(time_code, '') END AS timestamp_code,
+  CASE WHEN j IS NOT NULL THEN coalesce(price_code, '') END AS price_code FROM env_fields""",
 )
 check("payload_violations", "env_checked", "SELECT seq, array_to_string(content, ',') AS violations FROM env_checked")
 check("valid_events", "env_checked", "SELECT seq, event_id FROM env_checked WHERE is_valid")
@@ -492,6 +525,22 @@ SELECT feed, batch_id, n, round(mean, 8) AS mean, round(spread, 4) AS spread, ro
 FROM own JOIN past USING (batch_id)""",
 )
 
+check(
+    "payload_drift_large_values",
+    "env",
+    """, numbered AS (SELECT feed, batch_id, dense_rank() OVER (ORDER BY batch_id) AS no,
+    CAST(1700000000000 + seq * 37 % 13 + CASE WHEN batch_id % 10 = 8 THEN 1000 ELSE 0 END AS DOUBLE) AS x FROM env),
+own AS (SELECT feed, batch_id, no, count(x) AS n, avg(x - 1700000000000) + 1700000000000 AS mean,
+    stddev_samp(x - 1700000000000) AS spread FROM numbered GROUP BY feed, batch_id, no),
+past AS (SELECT o.batch_id, count(p.x) AS base_n, avg(p.x - 1700000000000) + 1700000000000 AS base_mean,
+    stddev_samp(p.x - 1700000000000) AS base_spread
+  FROM own o LEFT JOIN numbered p ON p.no BETWEEN o.no - 10 AND o.no - 1 GROUP BY o.batch_id)
+SELECT feed, batch_id, n, round(mean, 2) AS mean, round(base_mean, 2) AS base_mean, round(spread, 4) AS spread,
+  round(base_spread, 4) AS base_spread, round(abs(mean - base_mean) / base_spread, 3) AS z_score, base_n,
+  coalesce(abs(mean - base_mean) / base_spread > 3.0, false) AS drifted
+FROM own JOIN past USING (batch_id)""",
+)
+
 # ---- batch report ----------------------------------------------------------
 
 check("batch_counts", "report", "SELECT feed, batch_id, total_records, passed, quarantined FROM report")
@@ -511,11 +560,11 @@ FROM report""",
 )
 check(
     "empty_batch_stats",
-    "env_checked",
+    "thin_checked",
     """, four AS (SELECT seq // 4 AS batch_id, count(*) AS total, count(*) FILTER (is_valid) AS passed,
     sum(len(list_filter(violations, lambda x: x = 'missing_required_field'))) / (count(*) * 3) AS null_rate,
     count(*) FILTER (list_contains(violations, 'schema_violation')) / count(*) AS schema_rate
-  FROM env_checked GROUP BY seq // 4)
+  FROM thin_checked GROUP BY seq // 4)
 SELECT 'main' AS feed, batch_id, coalesce(total, 0) AS total_records, coalesce(passed, 0) AS passed,
   coalesce(total - passed, 0) AS quarantined, round(coalesce(null_rate, 0.0::DOUBLE), 6) AS null_rate,
   coalesce(null_rate >= 0.02, false) AS null_rate_warning, coalesce(schema_rate >= 0.1, false) AS schema_rate_warning
@@ -551,6 +600,26 @@ check(
     "outcomes",
     "SELECT feed, batch_id, batch_class, failure_streak, outcome, breaker_open FROM outcomes",
 )
+part(
+    "actions",
+    "resets",
+    """SELECT DISTINCT feed, batch_id, CASE WHEN batch_id % 2 = 0 THEN 'retry' ELSE 'release' END AS action
+FROM (SELECT * FROM resets UNION ALL SELECT 'main', event_id // 10 FROM events WHERE (event_id // 10) % 7 = 3)""",
+)
+part(
+    "action_classed",
+    "classed actions",
+    "SELECT * REPLACE ((SELECT count(*) FROM actions a WHERE a.batch_id <= c.batch_id) AS epoch) FROM classed c",
+)
+part("action_latched", "action_classed", _latched("action_classed", "epoch"))
+check(
+    "breaker_release",
+    "action_latched",
+    """SELECT l.feed, l.batch_id, CASE WHEN was_open THEN 'halt' ELSE batch_class END AS outcome,
+  was_open OR opens = 1 AS breaker_open,
+  (was_open OR batch_class = 'halt') AND coalesce(a.action, 'none') <> 'release' AS held_back
+FROM action_latched l LEFT JOIN actions a USING (feed, batch_id)""",
+)
 check(
     "route_clean",
     "routed",
@@ -607,6 +676,13 @@ check(
     """SELECT k.seq, CAST(min(k.copy) AS BIGINT) AS copy, k.idempotency_key, k.received_at FROM keyed k JOIN chain c
   ON k.idempotency_key = c.idempotency_key AND k.received_at = c.t GROUP BY k.seq, k.idempotency_key, k.received_at""",
 )
+check(
+    "dedup_two_feeds",
+    "chain",
+    """SELECT concat('feed-', k.seq % 2) AS feed, CAST(k.seq // 2 * 100 + min(k.copy) AS BIGINT) AS row_no,
+  k.idempotency_key, k.received_at FROM keyed k JOIN chain c ON k.idempotency_key = c.idempotency_key
+  AND k.received_at = c.t GROUP BY k.seq, k.idempotency_key, k.received_at""",
+)
 check(
     "dedup_first_seen",
     "keyed",
@@ -655,33 +731,33 @@ FROM timed_lag""",
 check("lag_p95_rolling", "env_p95", "SELECT feed, batch_id, sample_count, p95_lag_ms FROM env_p95")
 check(
     "volume_tumbling",
-    "env",
-    "SELECT feed, occurred_at // 3600000 * 3600000 AS bucket_start, count(*) AS events FROM env GROUP BY 1, 2",
+    "thin",
+    "SELECT feed, occurred_at // 3600000 * 3600000 AS bucket_start, count(*) AS events FROM thin GROUP BY 1, 2",
 )
-check("short_window_volume", "timed_volumes", "SELECT feed, batch_id, clock, short_volume FROM timed_volumes")
+check("short_window_volume", "thin_timed_volumes", "SELECT feed, batch_id, clock, short_volume FROM thin_timed_volumes")
 check(
     "baseline_volume",
-    "timed_volumes",
-    "SELECT feed, batch_id, baseline_total, round(baseline_total / 7.0::DOUBLE, 6) AS baseline_avg FROM timed_volumes",
+    "thin_timed_volumes",
+    "SELECT feed, batch_id, baseline_total, round(baseline_total / 7.0::DOUBLE, 6) AS baseline_avg FROM thin_timed_volumes",
 )
-check("stall_signal", "timed_stalls", "SELECT feed, batch_id, round(drop_now, 6) AS drop_now, stalled FROM timed_stalls")
+check("stall_signal", "thin_timed_stalls", "SELECT feed, batch_id, round(drop_now, 6) AS drop_now, stalled FROM thin_timed_stalls")
 check(
     "stall_streak",
-    "timed_stalls",
+    "thin_timed_stalls",
     """SELECT feed, batch_id, stalled AS stall_active, stall_streak, stall_short_volume,
   round(stall_baseline_avg, 6) AS stall_baseline_avg, round(stall_drop_ratio, 6) AS stall_drop_ratio, stall_detected_at
-FROM timed_stalls""",
+FROM thin_timed_stalls""",
 )
 check(
     "window_snapshot",
-    "timed_volumes",
+    "thin_timed_volumes",
     """SELECT feed, batch_id, clock - 86400000 AS window_start, clock AS window_end, short_volume AS record_count
-FROM timed_volumes""",
+FROM thin_timed_volumes""",
 )
 check(
     "volume_vs_baseline",
-    "env",
-    """, hours AS (SELECT feed, occurred_at // 3600000 AS w, count(*) AS events FROM env GROUP BY 1, 2),
+    "thin",
+    """, hours AS (SELECT feed, occurred_at // 3600000 AS w, count(*) AS events FROM thin GROUP BY 1, 2),
 based AS (SELECT h.feed, h.w, h.events, avg(p.events) AS base FROM hours h JOIN hours p
   ON p.w BETWEEN h.w - 24 AND h.w GROUP BY h.feed, h.w, h.events)
 SELECT feed, w * 3600000 AS bucket_start, events, round(base, 6) AS baseline_avg,
@@ -731,10 +807,10 @@ check(
 )
 check(
     "alerts_fired",
-    "alerts_reset halts",
+    "alerts_reset thin_halts",
     """SELECT feed, batch_id, string_agg(concat(rule, '=', level), ';'
   ORDER BY list_position(['stall', 'null_rate', 'schema', 'lag', 'anomaly', 'halt'], rule)) AS levels
-FROM (SELECT feed, batch_id, rule, level FROM alerts_reset UNION ALL SELECT feed, batch_id, rule, level FROM halts)
+FROM (SELECT feed, batch_id, rule, level FROM alerts_reset UNION ALL SELECT feed, batch_id, rule, level FROM thin_halts)
 GROUP BY feed, batch_id""",
 )
 
@@ -745,7 +821,7 @@ def _runbook_case() -> str:
     whens = " ".join(
         f"WHEN '{k}' THEN '{v}'" for k, v in RUNBOOKS.items() if k != "high_lag"
     )
-    return f"CASE runbook_key {whens} ELSE concat('No runbook defined for ', runbook_key) END"
+    return f"CASE runbook_key {whens} ELSE concat(runbook_key, ': no steps are on file') END"
 
 
 check(
@@ -755,12 +831,7 @@ check(
 # ---- history and metrics ---------------------------------------------------
 
 check("batch_outcomes", "stored", "SELECT * FROM stored")
-check(
-    "history_idempotent_append",
-    "stored",
-    """SELECT feed, count(*) AS stored_rows, count(*) FILTER (batch_id % 3 = 0) AS added_rows,
-  CAST(sum(total_records) AS BIGINT) AS stored_records FROM stored GROUP BY feed""",
-)
+check("history_idempotent_append", "stored", "SELECT * FROM stored")
 check(
     "recent_stats",
     "stored",

@@ -106,6 +106,39 @@ def envelope_decode_json(spark, d):
     return rows.select("partition", "offset", *[f for f in ENVELOPE.fieldNames() if f != "headers"])
 
 
+def spoiled_transport(spark, d):
+    """Transport rows whose values, four of five, are not one envelope alone."""
+    value = F.col("value")
+    kind = F.col("seq") % 5
+    spoiled = (
+        F.when(kind == 1, F.concat(value, F.lit(" x")))
+        .when(kind == 2, F.concat(value, value))
+        .when(kind == 3, F.substring(value, 1, 40))
+        .when(kind == 4, F.concat(F.lit("["), value, F.lit("]")))
+        .otherwise(F.concat(F.lit(" "), value, F.lit("\n")))
+    )
+    return va.drop_tombstones(fx.transport_rows(spark, d)).withColumn("value", spoiled)
+
+
+@query
+def envelope_decode_strict(spark, d):
+    rows = va.check_structure(va.decode_envelopes(spoiled_transport(spark, d)))
+    return rows.select("partition", "offset", "event_id", "raw_value", "schema_violation")
+
+
+@query
+def undecodable_dead_letters(spark, d):
+    rows = va.decode_envelopes(spoiled_transport(spark, d)).withColumn("batch_id", F.expr("seq div 100"))
+    dead = ro.with_dlq_key(va.validate_events(rows, P).filter("raw_value IS NOT NULL"))
+    return ro.dlq_records(dead.withColumn("event_id", F.col("idempotency_key"))).select(
+        F.col("event_id").alias("idempotency_key"),
+        "batch_id",
+        joined("reason_codes").alias("reason_codes"),
+        "error_detail",
+        "original_payload_json",
+    )
+
+
 @query
 def envelope_encode_json(spark, d):
     return va.encode_envelopes(fx.envelopes(spark, d)).select("seq", "value")
@@ -164,32 +197,34 @@ def json_parse_check(spark, d):
     return parsed.select("seq", pay.is_strict(F.col("wrapped"), F.col("text")).alias("is_json"))
 
 
-def _codes(spark, d):
-    return va.field_codes(fx.envelopes(spark, d), P).filter("is_json")
+def _codes(spark, d, p: Policy = P):
+    return va.field_codes(fx.envelopes(spark, d), p)
+
+
+def where_run(value: Column, kind: str | None = None) -> Column:
+    """The value, or null where the rule does not run: no JSON, or no such field."""
+    runs = F.col("is_json") if kind is None else F.col("is_json") & ~pay.absent(F.col(kind))
+    return F.when(runs, value)
 
 
 @query
 def required_fields(spark, d):
     rows = _codes(spark, d)
     gone = {f"{f}_missing": pay.absent(F.col(f"{f}_kind")) for f in P.required_fields}
-    return rows.select("seq", *[c.alias(n) for n, c in gone.items()])
+    return rows.select("seq", *[where_run(c).alias(n) for n, c in gone.items()])
 
 
 @query
 def number_type_rule(spark, d):
-    kind = F.col("price_kind")
-    return _codes(spark, d).filter(~pay.absent(kind)).select(
-        "seq", pay.is_number_like(kind).alias("price_is_number")
-    )
+    is_number = pay.is_number_like(F.col("price_kind"))
+    return _codes(spark, d).select("seq", where_run(is_number, "price_kind").alias("price_is_number"))
 
 
 @query
 def min_rule(spark, d):
     only_min = P.but(required_fields=("price",), field_rules={"price": FieldRule(min=10)})
-    rows = va.field_codes(fx.envelopes(spark, d), only_min).filter("is_json")
-    return rows.filter(~pay.absent(F.col("price_kind"))).select(
-        "seq", F.col("price_code").isNotNull().alias("below_minimum")
-    )
+    below = F.col("price_code").isNotNull()
+    return _codes(spark, d, only_min).select("seq", where_run(below, "price_kind").alias("below_minimum"))
 
 
 @query
@@ -233,17 +268,17 @@ def epoch_millis_format(spark, d):
 
 @query
 def format_disjunction(spark, d):
-    return _codes(spark, d).filter(~pay.absent(F.col("timestamp_kind"))).select(
+    return _codes(spark, d).select(
         "seq",
-        (F.col("timestamp_kind") == "STRING").alias("is_text"),
-        F.col("timestamp_code").isNotNull().alias("fails"),
+        where_run(F.col("timestamp_kind") == "STRING", "timestamp_kind").alias("is_text"),
+        where_run(F.col("timestamp_code").isNotNull(), "timestamp_kind").alias("fails"),
     )
 
 
 @query
 def field_rule_gating(spark, d):
     return _codes(spark, d).select(
-        "seq", *[F.coalesce(f"{f}_code", F.lit("")).alias(f"{f}_code") for f in P.required_fields]
+        "seq", *[where_run(F.coalesce(f"{f}_code", F.lit(""))).alias(f"{f}_code") for f in P.required_fields]
     )
 
 
@@ -283,6 +318,25 @@ def payload_distribution_drift(spark, d):
     )
 
 
+@query
+def payload_drift_large_values(spark, d):
+    # Values around 1.7e12 that spread by a few units, shifted by 1,000 in one batch of ten.
+    shift = F.when(F.col("batch_id") % 10 == 8, F.lit(1000)).otherwise(F.lit(0))
+    number = F.lit(1_700_000_000_000) + F.col("seq") * 37 % 13 + shift
+    rows = fx.envelopes(spark, d).select(
+        *BATCH, F.concat(F.lit('{"price": '), number.cast("string"), F.lit("}")).alias("payload_json")
+    )
+    return dr.distribution_drift(rows, "price", P.but(drift_z_limit=3.0)).select(
+        *BATCH,
+        "n",
+        *[F.round(c, 2).alias(c) for c in ("mean", "base_mean")],
+        *[F.round(c, 4).alias(c) for c in ("spread", "base_spread")],
+        F.round("z_score", 3).alias("z_score"),
+        "base_n",
+        "drifted",
+    )
+
+
 # ---- batch report ----------------------------------------------------------
 
 
@@ -326,7 +380,7 @@ def batch_threshold_flags(spark, d):
 def empty_batch_stats(spark, d):
     # Batches of four ids: in the thinned days some hold no event at all.
     four = F.expr("seq div 4")
-    rows = fx.envelopes(spark, d).withColumn("batch_id", four)
+    rows = fx.thinned(fx.envelopes(spark, d)).withColumn("batch_id", four)
     report = ba.batch_report(va.validate_events(rows, P), P)
     expected = (
         spark.read.parquet(f"{d}/events.parquet")
@@ -426,6 +480,24 @@ def breaker_with_reset(spark, d):
     return rows.select(*BATCH, "batch_class", "failure_streak", "outcome", "breaker_open")
 
 
+@query
+def breaker_release(spark, d):
+    # Every second reset gives up the batch it stands before; so do some in the middle of a run.
+    control = resets(spark, d).unionByName(
+        spark.read.parquet(f"{d}/events.parquet")
+        .filter("event_id div 10 % 7 = 3")
+        .select(F.lit("main").alias("feed"), F.expr("event_id div 10").alias("batch_id"))
+        .distinct()
+    )
+    action = F.when(F.col("batch_id") % 2 == 0, "retry").otherwise("release")
+    control = stage(control.distinct().withColumn("action", action))
+    rows = stage(judged(spark, d, control))
+    held = ro.held_back(rows, control).withColumn("held", F.lit(True))
+    return rows.join(held, BATCH, "left").select(
+        *BATCH, "outcome", "breaker_open", F.coalesce("held", F.lit(False)).alias("held_back")
+    )
+
+
 # ---- routing ---------------------------------------------------------------
 
 
@@ -494,6 +566,17 @@ def dedup_window(spark, d):
     return kept.select("seq", "copy", "idempotency_key", "received_at")
 
 
+@query
+def dedup_two_feeds(spark, d):
+    # Two feeds whose row numbers collide; keys belong to one feed each.
+    feed = F.concat(F.lit("feed-"), (F.col("seq") % 2).cast("string"))
+    rows = replayed(spark, d).select(
+        feed.alias("feed"), F.expr("row_no div 200 * 100 + copy").alias("row_no"), "idempotency_key", "received_at"
+    )
+    kept = de.dedup_window(rows, "idempotency_key", "received_at", ["feed", "row_no"], DAYS.dedup_window_seconds)
+    return kept.select("feed", "row_no", "idempotency_key", "received_at")
+
+
 @query
 def dedup_first_seen(spark, d):
     rows = replayed(spark, d).select("seq", "copy", "row_no", "idempotency_key", "received_at")
@@ -562,11 +645,11 @@ def lag_p95_rolling(spark, d):
 
 @query
 def volume_tumbling(spark, d):
-    return vo.tumbling(fx.envelopes(spark, d), 3600)
+    return vo.tumbling(fx.thinned(fx.envelopes(spark, d)), 3600)
 
 
 def day_volumes(spark, d):
-    return vo.volumes(stage(vo.volume_grid(fx.time_batches(spark, d))), DAYS)
+    return vo.volumes(stage(vo.volume_grid(fx.thinned(fx.time_batches(spark, d)))), DAYS)
 
 
 @query
@@ -609,7 +692,7 @@ def window_snapshot(spark, d):
 @query
 def volume_vs_baseline(spark, d):
     hours = DAYS.but(short_window_seconds=3600, baseline_window_seconds=86_400)
-    return vo.volume_vs_baseline(fx.envelopes(spark, d), hours, span=168).select(
+    return vo.volume_vs_baseline(fx.thinned(fx.envelopes(spark, d)), hours, span=168).select(
         "feed", "bucket_start", "events", r6("baseline_avg"), r6("drop_ratio"), "stalling"
     )
 
@@ -624,7 +707,7 @@ def late_event_corrections(spark, d):
 
 
 def all_signals(spark, d):
-    return signals(fx.small_batches(spark, d), DAYS, stage(resets(spark, d)))
+    return signals(fx.thinned(fx.small_batches(spark, d)), DAYS, stage(resets(spark, d)))
 
 
 @query
@@ -736,12 +819,12 @@ def history_idempotent_append(spark, d):
     # Two thirds are stored already; every batch arrives twice.
     rows = stage(stored(spark, d))
     already = rows.filter("batch_id % 3 <> 0")
-    fresh = hi.new_rows(rows.unionByName(rows), already)
-    return already.unionByName(fresh).groupBy("feed").agg(
-        F.count(F.lit(1)).alias("stored_rows"),
-        F.count_if(F.col("batch_id") % 3 == 0).alias("added_rows"),
-        F.sum("total_records").alias("stored_records"),
-    )
+    # The second time a batch comes a day later; a stored one must stay as it is.
+    later = rows.withColumns(
+        {c: F.col(c) + F.expr("INTERVAL 1 DAY") for c in ("started_at", "completed_at")}
+    ).withColumn("started_date", F.date_add("started_date", 1))
+    fresh = hi.new_rows(rows.unionByName(later), already)
+    return in_ms(already.unionByName(fresh))
 
 
 @query

@@ -71,3 +71,9 @@ def test_values_that_cannot_work_are_refused(change):
 
 def test_dry_run_does_not_route():
     assert not starter(mode="dry_run").routes
+
+
+def test_a_truth_value_given_as_text(tmp_path):
+    path = tmp_path / "p.json"
+    path.write_text('{"idempotency": {"enabled": "false"}}')
+    assert Policy.load(path, {}).dedup_enabled is False

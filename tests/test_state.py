@@ -312,4 +312,4 @@ def test_alerts_with_resets(spark, seed, span):
 def test_runbooks(spark):
     rows = spark.createDataFrame([("f", 1, "high_lag"), ("f", 2, "strange")], "feed string, batch_id bigint, runbook_key string")
     got = {r["batch_id"]: r["runbook"] for r in al.with_runbook(rows, al.runbook_table(spark)).collect()}
-    assert got == {1: al.RUNBOOKS["high_lag"], 2: "No runbook defined for strange"}
+    assert got == {1: al.RUNBOOKS["high_lag"], 2: "strange: no steps are on file"}

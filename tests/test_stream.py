@@ -106,8 +106,9 @@ def test_halt_stops_until_reset(spark, tmp_path):
     assert [r["outcome"] for r in rows] == ["halt"] * 4
     alerts = spark.read.parquet(f"{root}/alerts").filter("rule = 'halt'").collect()
     assert [r["batch_id"] for r in alerts] == [0]
-    assert not (tmp_path / "out" / "clean" / "epoch=3").exists()
+    assert spark.read.parquet(f"{root}/clean").filter("epoch = 3").isEmpty()
     assert spark.read.parquet(f"{root}/halted").count() == 30
+    assert spark.read.parquet(f"{root}/halts").filter("epoch = 3").count() == 1
 
     spark.createDataFrame([("main", 3)], "feed string, batch_id bigint").write.parquet(resets)
     gate(good, 3)
@@ -132,7 +133,7 @@ def test_a_stopped_stream_does_not_commit(spark, tmp_path):
 def test_dedup_across_epochs_and_dry_run(spark, tmp_path):
     p = DAYS.but(dedup_window_seconds=60)
     t0 = 1_705_314_600_000
-    gate = Gate(p, str(tmp_path / "out"))
+    gate = Gate(p, str(tmp_path / "out"), skew_seconds=0)
     gate(live(spark, [event(1, at=t0, event_id="a"), event(2, at=t0 + 1000, event_id="a"), event(3, at=t0, event_id="b")]), 0)
     gate(live(spark, [event(4, at=t0 + 60_000, event_id="a"), event(5, at=t0 + 60_001, event_id="b")]), 1)
     gate(live(spark, [event(6, at=t0 + 60_002, event_id="a"), event(7, at=t0 + 60_003, event_id="b")]), 2)
@@ -168,3 +169,54 @@ def test_builtin_stream_dedup_runs(spark, tmp_path):
     query = dedup_stream(stream, "k", "at", 60).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT * FROM once").count() == 1
+
+
+def test_a_halt_class_batch_is_released(spark, tmp_path):
+    root, folder, resets = (str(tmp_path / n) for n in ("out", "in", "resets"))
+    land(live(spark, [event(i, "broken") for i in range(4)]), folder)
+    schema = live(spark, []).schema
+
+    def run():
+        query = run_stream(read_folder(spark, folder, schema), DAYS, root, resets=resets, available_now=True)
+        query.awaitTermination()
+
+    with pytest.raises(StreamingQueryException, match="halted"):
+        run()
+    asked = "feed string, batch_id bigint, action string"
+    spark.createDataFrame([("main", 0, "retry")], asked).write.parquet(resets)
+    with pytest.raises(StreamingQueryException, match="halted"):
+        run()
+    spark.createDataFrame([("main", 0, "release")], asked).write.mode("append").parquet(resets)
+    run()
+    assert spark.read.parquet(f"{root}/halted").count() == 4
+    assert spark.read.parquet(f"{root}/halts").count() == 1
+    assert spark.read.parquet(f"{root}/history").first()["outcome"] == "halt"
+    commits = tmp_path / "out" / "checkpoint" / "commits"
+    assert [f for f in commits.iterdir() if not f.name.startswith(".")]
+
+
+def test_other_batches_of_a_halted_epoch_are_written(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = [event(i, "broken") for i in range(4)] + [event(10 + i) for i in range(5)]
+    feeds = spark.createDataFrame(rows, EVENTS).withColumn("feed", F.when(F.col("seq") < 10, "a").otherwise("b"))
+    with pytest.raises(RuntimeError, match="halted"):
+        Gate(DAYS, root)(feeds.drop("batch_id"), 0)
+    assert spark.read.parquet(f"{root}/clean").count() == 5
+
+
+def test_no_record_is_lost(spark, tmp_path):
+    root = str(tmp_path / "out")
+    good = json.dumps({k: v for k, v in event(1).items() if k not in ("seq", "received_at") and v is not None})
+    values = ["x", "x", "{", good + " x", good + good] + [good.replace('"e1"', f'"e{i}"') for i in range(5)]
+    raw = spark.createDataFrame(
+        [(t, 0, i, "k", v.encode()) for t in ("left", "right") for i, v in enumerate(values)],
+        "topic string, partition int, offset bigint, key string, value binary",
+    ).withColumn("timestamp", F.timestamp_millis(F.lit(1_705_314_600_010)))
+    gate = Gate(CALM.but(schema_rate_critical=2.0), root)
+    gate(from_transport(raw), 0)
+    sums = spark.read.parquet(f"{root}/history").agg(F.sum("passed"), F.sum("quarantined")).first()
+    assert tuple(sums) == (10, 10)
+    letters = spark.read.parquet(f"{root}/dead").select("value").collect()
+    assert sorted(json.loads(r["value"])["original_payload_json"] for r in letters) == sorted(values[:5] * 2)
+    # The same events in both feeds are duplicates; positions of one feed do not touch the other.
+    assert spark.read.parquet(f"{root}/clean").count() == 5

@@ -162,7 +162,7 @@ def test_structure_each_required_field(spark):
 def test_encode_then_decode_gives_the_same_envelope(spark):
     rows = [envelope(), envelope(event_id="e2", trace_id="t", headers={"a": "b"}, payload_json='{"q": "\\"x\\""}')]
     df = spark.createDataFrame(rows, ENVELOPE)
-    back = va.decode_envelopes(va.encode_envelopes(df).select("value"))
+    back = va.decode_envelopes(va.encode_envelopes(df).select("value")).drop("raw_value")
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     broken = spark.createDataFrame([(bytearray(b"\x00\x01"),), (None,)], "value binary")
     assert va.decode_envelopes(va.drop_tombstones(broken)).first()["event_id"] is None
