@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,5 +76,20 @@ def bucket_of(id_column: Column, parts: int) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % parts
 
 
+class Reach:
+    """How far the spans that start before a position reach; built once, asked in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self._starts, self._ends = [], []
+        for start, end in sorted(spans):
+            self._starts.append(start)
+            self._ends.append(max(end, self._ends[-1]) if self._ends else end)
+
+    def until(self, position: int) -> int:
+        """The furthest end among spans that start before `position`."""
+        i = bisect_left(self._starts, position)
+        return self._ends[i - 1] if i else -1
+
+
 def quiet_tokenizers() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqstream.llm.common import _arrow_schema, per_row
+from dqstream.llm.common import Reach, _arrow_schema, per_row
 from dqstream.plans.stage import stage
 
 # Base kinds first; the others are candidates only.
@@ -103,7 +103,7 @@ def candidates(text: str | None) -> list[Candidate]:
     """Base spans and further candidates, each with its cell."""
     text = text or ""
     spans = base_spans(text)
-    taken = sorted((s, e) for _, s, e in spans)
+    taken = Reach((s, e) for _, s, e in spans)
     more = []
     if "(" in text or "[" in text:
         more += [(4, m.start(), m.end()) for m in _WRITTEN.finditer(text)]
@@ -112,7 +112,7 @@ def candidates(text: str | None) -> list[Candidate]:
     more += [(7, m.start(), m.end()) for m in _SOCIAL.finditer(text)]
     more += [(8, m.start(), m.end()) for m in _NAME.finditer(text)]
     for kind, s, e in more:
-        if not any(s < f and b < e for b, f in taken):
+        if taken.until(e) <= s:
             spans.append((kind, s, e))
     return [(k, s, e, cell(text, k, s, e)) for k, s, e in sorted(spans)]
 

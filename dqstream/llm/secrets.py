@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqstream.llm.common import per_row, small_batches
+from dqstream.llm.common import Reach, per_row, small_batches
 
 # The patterns every scan reports, in order of their kinds.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -42,8 +42,10 @@ THRESHOLDS = {"hex": 3.0, "base64": 3.8}
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WIDTH},}}")
 _HEX_RUN = re.compile(rf"[0-9A-Fa-f]{{{WIDTH},}}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-# What allows a string, right before it.
-_ALLOWED_BEFORE = re.compile(r"(?:[a-z]+://[^\s\"'<>]*|sha(?:1|256|384|512)[:-]|md5[:-])$")
+# What allows a string: where it stands in a URL, or after the name of a digest.
+_ALLOWED_BEFORE = re.compile(r"(?:[a-z]+://[^\s\"'<>]*|\b(?:sha(?:1|256|384|512)|md5):)$")
+_SCHEME = re.compile(r"[a-z]:$")
+_DIGEST = re.compile(r"(?:sha(?:1|256|384|512)|md5)-")
 _ALLOWED_INSIDE = re.compile(r"example|sample|placeholder|x{6}", re.IGNORECASE)
 
 MASK = "[SECRET]"
@@ -68,11 +70,6 @@ def windows(run: str, threshold: float) -> Iterator[tuple[int, int]]:
     start = end = -1
     bound = WIDTH * (math.log2(WIDTH) - threshold)
     for i, c in enumerate(run):
-        k = counts.get(c, 0)
-        total += _TERMS[k + 1] - _TERMS[k]
-        counts[c] = k + 1
-        digits += c.isdigit()
-        letters += c.isalpha()
         if i >= WIDTH:
             old = run[i - WIDTH]
             k = counts[old]
@@ -80,6 +77,11 @@ def windows(run: str, threshold: float) -> Iterator[tuple[int, int]]:
             counts[old] = k - 1
             digits -= old.isdigit()
             letters -= old.isalpha()
+        k = counts.get(c, 0)
+        total += _TERMS[k + 1] - _TERMS[k]
+        counts[c] = k + 1
+        digits += c.isdigit()
+        letters += c.isalpha()
         # Entropy is log2(width) minus the sum of c log2 c over the width.
         if i >= WIDTH - 1 and total <= bound + 1e-9 and digits >= 2 and letters >= 2:
             first = i - WIDTH + 1
@@ -97,6 +99,8 @@ def allowed(text: str, start: int, end: int) -> bool:
     """Whether the string is on the allow-list."""
     own = text[start:end]
     before = text[max(0, start - 200) : start]
+    if own.startswith("//") and _SCHEME.search(before) or _DIGEST.match(own):
+        return True
     return bool(_UUID.search(own) or _ALLOWED_INSIDE.search(own) or _ALLOWED_BEFORE.search(before))
 
 
@@ -126,7 +130,8 @@ def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:
     """Fixed spans, and all spans; an entropy span inside a fixed one is not repeated."""
     text = text or ""
     base = fixed(text)
-    more = [x for x in by_entropy(text) if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+    known = Reach((s, e) for s, _, e in base)
+    more = [x for x in by_entropy(text) if known.until(x[0] + 1) < x[2]]
     return base, sorted(base + more)
 
 
