@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dqstream.contract import BATCH, HALT
 from dqstream.operators.breaker import ORDER, with_resets
 from dqstream.plans.scan import SPAN, running, streaks
+from dqstream.plans.stage import stage
 from dqstream.policy import Policy
 
 # Alert levels.
@@ -187,6 +188,18 @@ def halt_alert_rows(
     return fired_halts(halt_alerts(outcomes, resets, initial, span))
 
 
+def all_alerts(
+    signals: DataFrame,
+    p: Policy,
+    resets: DataFrame | None = None,
+    initial: DataFrame | None = None,
+    span: int | None = SPAN,
+) -> DataFrame:
+    """Alerts of all rules and of halts, from one chain over the batches."""
+    judged = stage(halt_alerts(alert_streaks(signals, p, resets, initial, span), initial=initial, span=span))
+    return fired(judged, p).unionByName(fired_halts(judged))
+
+
 def fired_levels(fired: DataFrame) -> DataFrame:
     """Levels per batch in rule order."""
     ordered = F.sort_array(F.collect_list(F.struct("ordinal", "rule", "level")))

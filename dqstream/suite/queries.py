@@ -781,10 +781,8 @@ def alert_with_reset(spark, d):
 
 @query
 def alerts_fired(spark, d):
-    rows, control = all_signals(spark, d), stage(resets(spark, d))
-    span = span_of(rows)
-    fired_rows = al.alerts(rows, DAYS, control, span=span)
-    everything = fired_rows.unionByName(al.halt_alert_rows(rows, control, span=span))
+    rows = all_signals(spark, d)
+    everything = al.all_alerts(rows, DAYS, stage(resets(spark, d)), span=span_of(rows))
     return al.fired_levels(everything).withColumn("levels", joined("levels", ";"))
 
 
