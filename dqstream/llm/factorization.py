@@ -32,26 +32,49 @@ RARE_WEIGHT = 3.0
 # Terms whose slot a worker remembers.
 _REMEMBERED = 400_000
 
-Terms = Callable[..., dict[str, float]]
+@dataclass(frozen=True)
+class Inputs:
+    """What a text is turned into: the terms of its words, each once, and further terms with amounts."""
+
+    columns: tuple[str, ...]
+    words: Callable[..., set[str]]
+    terms: Callable[[str], list[str]]
+    amount: float = 1.0
+    extra: Callable[..., dict[str, float]] | None = None
 
 
 class Hasher:
-    """Slot of a term; remembers the terms it has met, up to a bound."""
+    """Slots and amounts of a row; remembers the words it has met, up to a bound.
+
+    With `live`, slots that a model leaves at zero are left out.
+    """
 
-    def __init__(self, slots: int = SLOTS) -> None:
-        self._slots = slots
-        self._known: dict[str, int] = {}
+    def __init__(self, inputs: Inputs, live: np.ndarray | None = None) -> None:
+        self._inputs, self._live = inputs, live
+        self._known: dict[str, bytes] = {}
 
-    def row(self, terms: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        known = self._known
-        slots = list(map(known.get, terms))
-        if None in slots:
+    def row(self, *values) -> tuple[np.ndarray, np.ndarray]:
+        known, inputs = self._known, self._inputs
+        words = inputs.words(*values)
+        found = list(map(known.get, words))
+        if None in found:
             if len(known) > _REMEMBERED:
                 known.clear()
-            for i, (slot, term) in enumerate(zip(slots, terms)):
-                if slot is None:
-                    slots[i] = known[term] = zlib.crc32(term.encode()) % self._slots
-        return np.array(slots, np.int32), np.fromiter(terms.values(), np.float32, len(terms))
+            for i, (slots, word) in enumerate(zip(found, words)):
+                if slots is None:
+                    found[i] = known[word] = self._slots(inputs.terms(word)).tobytes()
+        slots = np.unique(np.frombuffer(b"".join(found), "<i4"))
+        amounts = np.full(len(slots), inputs.amount, np.float32)
+        if inputs.extra is None:
+            return slots, amounts
+        more = inputs.extra(*values)
+        kept = [(int(s[0]), x) for t, x in more.items() if len(s := self._slots([t]))]
+        at, x = zip(*kept) if kept else ((), ())
+        return np.concatenate([slots, np.array(at, "<i4")]), np.concatenate([amounts, np.array(x, np.float32)])
+
+    def _slots(self, terms: list[str]) -> np.ndarray:
+        slots = np.array([zlib.crc32(t.encode()) % SLOTS for t in terms], "<i4")
+        return slots if self._live is None else slots[self._live[slots]]
 
 
 @dataclass(frozen=True)
@@ -60,6 +83,10 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    def live(self) -> np.ndarray:
+        """Slots that matter to a score."""
+        return (self.weights != 0) | (self.factors != 0).any(axis=1)
+
     def score(self, slots: np.ndarray, values: np.ndarray) -> float:
         linear = self.bias + float(self.weights[slots] @ values)
         v = self.factors[slots] * values[:, None]
@@ -108,9 +135,9 @@ def fit(
             miss = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) * weight[part]
             touched, where = np.unique(at, return_inverse=True)
             g = miss[row] * x
-            grad_w = np.bincount(where, g, len(touched)) + decay * weights[touched] * len(part)
+            grad_w = np.bincount(where, g, len(touched)).astype(float) + decay * weights[touched] * len(part)
             pull = g[:, None] * (total[row] - v)
-            grad_v = np.stack([np.bincount(where, pull[:, f], len(touched)) for f in range(RANK)], axis=1)
+            grad_v = np.stack([np.bincount(where, pull[:, f], len(touched)) for f in range(RANK)], axis=1).astype(float)
             grad_v += 5 * decay * factors[touched] * len(part)
             seen_w[touched] += grad_w**2
             seen_v[touched] += grad_v**2
@@ -150,22 +177,22 @@ def sample(labels: DataFrame, label: str, per_label: int) -> tuple[DataFrame, di
     return taken[0].unionByName(taken[1]), counts
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, inputs: list[str], terms: Terms, per_label: int = SAMPLE_PER_LABEL) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str, inputs: Inputs, per_label: int = SAMPLE_PER_LABEL) -> Machine:
     """Fit on a bounded sample; with fewer than two labels all texts score the label there is, or one half."""
     chosen, counts = sample(labels, label, per_label)
     schema = "doc_id bigint, y int, slots array<int>, amounts array<float>"
     out = _arrow_schema(docs.sparkSession, schema)
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(inputs)
         for batch in batches:
-            made = [hasher.row(terms(*row)) for row in zip(*[batch.column(i + 2).to_pylist() for i in range(len(inputs))])]
+            made = [hasher.row(*row) for row in zip(*[c.to_pylist() for c in batch.columns[2:]])]
             arrays = [batch.column(0), batch.column(1), *(pa.array([m[i] for m in made], out.field(i + 2).type) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     # The ids are bounded, so each executor may hold them; only hashed terms come back.
-    rows = slim(docs, "doc_id", *inputs).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.col("doc_id").cast("bigint"), "y", *inputs).mapInArrow(hashed, schema).toArrow()
+    rows = slim(docs, "doc_id", *inputs.columns).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select(F.col("doc_id").cast("bigint"), "y", *inputs.columns).mapInArrow(hashed, schema).toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
     y = rows["y"].to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
@@ -179,20 +206,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str, inputs: list[str], ter
     return fit(list(zip(slots, amounts)), y, (shares[0], shares[1]))
 
 
-def apply(docs: DataFrame, machine: Machine, inputs: list[str], terms: Terms) -> DataFrame:
+def apply(docs: DataFrame, machine: Machine, inputs: Inputs) -> DataFrame:
     """doc_id and score of every row."""
     schema = "doc_id bigint, score double"
     out = _arrow_schema(docs.sparkSession, schema)
-    # Of a fixed size, so each executor may hold one.
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    scorer = scores(docs, machine, inputs)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        model, hasher = shared.value, Hasher()
+        score = scorer()
         for batch in batches:
-            columns = [batch.column(i + 1).to_pylist() for i in range(len(inputs))]
-            scores = [model.score(*hasher.row(terms(*row))) for row in zip(*columns)]
-            arrays = [batch.column(0), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            made = score(list(zip(*[c.to_pylist() for c in batch.columns[1:]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], schema=out)
 
-    rows = slim(docs, "doc_id", *inputs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = slim(docs, "doc_id", *inputs.columns).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return rows.mapInArrow(scored, schema)
+
+
+def scores(docs: DataFrame, machine: Machine, inputs: Inputs) -> Callable[[], Callable[[list], list[float]]]:
+    """Makes a function, once per task, that scores rows of inputs."""
+    # Of a fixed size, so each executor may hold one.
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def scorer() -> Callable[[list], list[float]]:
+        model = shared.value
+        hasher = Hasher(inputs, model.live())
+        return lambda rows: [model.score(*hasher.row(*row)) for row in rows]
+
+    return scorer

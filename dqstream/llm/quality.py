@@ -13,6 +13,8 @@ alike, an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from itertools import islice
+from operator import eq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,53 +29,54 @@ _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]").findall
 _DIGITS = re.compile(r"[0-9]").findall
 
 
-def terms(text: str | None, n_chars: int | None = None) -> dict[str, float]:
+def words(text: str | None, n_chars: int | None) -> set[str]:
+    return set(_WORDS((text or "").lower()))
+
+
+def structure(text: str | None, n_chars: int | None) -> dict[str, float]:
+    """Statistics of the text in coarse steps, and its stated length."""
     text = text or ""
     tokens = text.split()
-    words = _WORDS(text.lower())
     lines = text.split("\n")
     n, size = max(1, len(tokens)), max(1, len(text))
-    distinct = set(words)
     marks = _MARKS(text)
     stats = {
         "marks": len(marks) * 40 / size,
         "kinds": min(8, len(set(marks))),
         "capitals": len(_CAPITALS(text)) * 10 / size,
         "digits": len(_DIGITS(text)) * 10 / size,
-        "again": sum(a == b for a, b in zip(tokens, tokens[1:])) * 20 / n,
-        "distinct": len(distinct) * 10 / max(1, len(words)),
+        "again": sum(map(eq, tokens, islice(tokens, 1, None))) * 20 / n,
+        "distinct": len(set(tokens)) * 10 / n,
         "lines": len(set(lines)) * 10 / len(lines),
         "breaks": min(9, len(lines) * 100 / n),
-        "letters": min(15, sum(map(len, tokens)) / n),
-        "alone": sum(len(t) == 1 for t in tokens) * 10 / n,
+        "letters": min(15, (size - n) / n),
         "size": len(tokens).bit_length(),
     }
-    out = dict.fromkeys(sorted(distinct), 0.3)
-    out |= {f"={name}:{int(value)}": 1.0 for name, value in stats.items()}
+    out = {f"={name}:{int(value)}": 1.0 for name, value in stats.items()}
     out[f"=stated:{'none' if n_chars is None else int(n_chars).bit_length()}"] = 0.5
     return out
 
 
+INPUTS = fm.Inputs(("text", "n_chars"), words, lambda word: [word], 0.3, structure)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows no label may be learned from."""
     return F.coalesce(bucket_of(doc_id, 5) == 0, F.lit(True))
 
 
-def _inputs(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    stated = "n_chars" if "n_chars" in docs.columns else None
-    size = F.col(stated).cast("bigint") if stated else F.lit(None).cast("bigint")
-    return docs.select("doc_id", "text", size.alias("n_chars")), ["text", "n_chars"]
+def _inputs(docs: DataFrame) -> DataFrame:
+    stated = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select("doc_id", "text", stated.cast("bigint").alias("n_chars"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> fm.Machine:
-    rows, inputs = _inputs(docs)
-    return fm.train(rows, labels.where(~held_out(F.col("doc_id"))), "quality", inputs, terms)
+    return fm.train(_inputs(docs), labels.where(~held_out(F.col("doc_id"))), "quality", INPUTS)
 
 
 def score(docs: DataFrame, machine: fm.Machine) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    rows, inputs = _inputs(docs)
-    return fm.apply(rows, machine, inputs, terms).select(
+    return fm.apply(_inputs(docs), machine, INPUTS).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",

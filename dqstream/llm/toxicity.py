@@ -24,10 +24,15 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 STARTS = (3, 5, 7)
 
 
-def terms(text: str | None) -> dict[str, float]:
-    words = set(_WORDS((text or "").lower()))
-    starts = {w[:n] + "*" for w in words for n in STARTS if len(w) > n}
-    return dict.fromkeys(sorted(words), 1.0) | dict.fromkeys(sorted(starts), 1.0)
+def words(text: str | None) -> set[str]:
+    return set(_WORDS((text or "").lower()))
+
+
+def terms(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in STARTS if len(word) > n)]
+
+
+INPUTS = fm.Inputs(("text",), words, terms)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,12 +41,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> fm.Machine:
-    return fm.train(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", ["text"], terms)
+    return fm.train(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", INPUTS)
 
 
 def score(docs: DataFrame, machine: fm.Machine) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    return fm.apply(docs, machine, ["text"], terms).select(
+    return fm.apply(docs, machine, INPUTS).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
@@ -51,10 +56,10 @@ def score(docs: DataFrame, machine: fm.Machine) -> DataFrame:
 
 def keep_clean(docs: DataFrame, machine: fm.Machine) -> DataFrame:
     """Whole rows of `docs` that score below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    scorer = fm.scores(docs, machine, INPUTS)
 
     def chooser():
-        model, hasher = shared.value, fm.Hasher()
-        return lambda rows: [model.score(*hasher.row(terms(text))) < THRESHOLD for (text,) in rows]
+        score = scorer()
+        return lambda rows: [s < THRESHOLD for s in score(rows)]
 
-    return keep_rows(docs, chooser, ["text"])
+    return keep_rows(docs, chooser, INPUTS.columns)
