@@ -21,7 +21,8 @@ from dqstream.operators import alerts as al
 from dqstream.operators import dedup as de
 from dqstream.operators import history as hi
 from dqstream.operators import routing as ro
-from dqstream.operators.lag import lag_tails
+from dqstream.operators.batches import offset_context
+from dqstream.operators.lag import lag_tails, split_late
 from dqstream.operators.signals import batch_facts, combine
 from dqstream.operators.validate import validate_events
 from dqstream.operators.volume import volume_grid
@@ -95,6 +96,9 @@ class Gate:
         fired = al.fired(judged, p).unionByName(al.fired_halts(judged))
         self._write(al.with_runbook(fired, al.runbook_table(spark)), "alerts", epoch)
         self._write_history(hi.history_rows(judged), epoch)
+        # One row per batch with every signal: what metrics and panels are made of.
+        self._write(judged, "signals", epoch)
+        self._context(checked, epoch)
         routes = self._route(spark, checked, judged, epoch)
         if p.routes:
             halted = judged.filter(F.col("outcome") == HALT)
@@ -111,6 +115,13 @@ class Gate:
         self._write(self._live_grid(grid, judged), "ledger", epoch)
         self._forget(spark, epoch)
 
+    def _context(self, checked: DataFrame, epoch: int) -> None:
+        """Offsets of each batch, where the source has them, and late events by event date."""
+        if all(c in checked.columns for c in ("topic", "partition", "offset")):
+            self._write(offset_context(checked), "offsets", epoch)
+        late = split_late(checked.select("feed", "batch_id", "seq", "event_id", "occurred_at", "received_at"), self.policy)[1]
+        self._write(late, "late", epoch)
+
     # -- sinks --------------------------------------------------------------
 
     def _route(self, spark: SparkSession, checked: DataFrame, judged: DataFrame, epoch: int) -> ro.Routes:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dqstream.operators import alerts as al
 from dqstream.operators import history as hi
+from dqstream.operators import metrics as me
 from dqstream.operators.dedup import dedup_stream
 from dqstream.operators.signals import signals
 from dqstream.plans.stage import stage
@@ -63,6 +64,16 @@ def test_stream_with_restart_equals_the_table(spark, sf_dir, tmp_path):
     clean, dead = (spark.read.parquet(f"{root}/{n}") for n in ("clean", "dead"))
     assert (clean.count(), dead.count()) == tuple(totals)
     assert spark.read.parquet(f"{root}/shadow").count() > 0
+    # Metrics and panels of the stream are those of the table.
+    kept = spark.read.parquet(f"{root}/signals").drop("epoch")
+    for made in (
+        me.counters, me.histograms, me.records_rate, me.quality_series, me.latency_bucket_rates,
+        lambda h: me.threshold_series(h, CALM), lambda h: me.latest_gauges(h, CALM),
+    ):
+        want_rows = made(table)
+        assert rows_of(made(kept), want_rows.columns) == rows_of(want_rows, want_rows.columns)
+    late = events.filter(F.col("received_at") - F.col("occurred_at") > CALM.max_allowed_lag_ms).count()
+    assert spark.read.parquet(f"{root}/late").count() == late > 0
     # State that no epoch needs any more is gone.
     assert {r[0] for r in spark.read.parquet(f"{root}/state").select("epoch").distinct().collect()} == {1, 2}
 
@@ -218,5 +229,7 @@ def test_no_record_is_lost(spark, tmp_path):
     assert tuple(sums) == (10, 10)
     letters = spark.read.parquet(f"{root}/dead").select("value").collect()
     assert sorted(json.loads(r["value"])["original_payload_json"] for r in letters) == sorted(values[:5] * 2)
+    offsets = spark.read.parquet(f"{root}/offsets").collect()
+    assert sorted((r["topic"], r["offset_first"], r["offset_last"]) for r in offsets) == [("left", 0, 9), ("right", 0, 9)]
     # The same events in both feeds are duplicates; positions of one feed do not touch the other.
     assert spark.read.parquet(f"{root}/clean").count() == 5
