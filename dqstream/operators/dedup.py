@@ -13,6 +13,10 @@ from dqstream.plans.stage import stage
 # Keys with more distinct times than this are chained by doubling steps over
 # rows; the others by a fold over one short array.
 FOLD_LIMIT = 4096
+# Where such a key's times meet, they meet in slots of this length whatever the
+# window is: at most 60,000 instants and as many probes in a slot, and one row a
+# minute for the key.
+SLOT_MS = 60_000
 
 
 def first_seen(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -142,10 +146,9 @@ def _next_instants(instants: DataFrame, gap: int) -> DataFrame:
     slot. Rows meet per (key, slot), which holds at most one row per distinct
     millisecond; one row per slot meets per key.
     """
-    width = max(gap, 1000)
     probes = instants.select("k", (F.col("t") + gap).alias("at"), F.col("t").alias("src"))
     marks = instants.select("k", F.col("t").alias("at"), F.col("t").alias("hit"))
-    mixed = probes.unionByName(marks, allowMissingColumns=True).withColumn("slot", F.expr(f"at div {width}L"))
+    mixed = probes.unionByName(marks, allowMissingColumns=True).withColumn("slot", F.expr(f"at div {SLOT_MS}L"))
     # Backwards, so that the frame grows from row to row.
     ahead = W.partitionBy("k", "slot").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, -1)
     inside = mixed.withColumn("near", F.min("hit").over(ahead)).filter("src IS NOT NULL")

@@ -43,6 +43,17 @@ def test_window_dedup(spark, limit, seconds):
     assert sorted(r["o"] for r in kept.collect()) == walk_guard(rows, seconds)
 
 
+def test_a_long_window_of_a_hot_key_is_cut_into_slots(spark):
+    """A day's window over ten days: no slot of the key holds more than its minute."""
+    rng = random.Random(5)
+    rows = [("hot", rng.randint(0, 864_000) * 1000, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = de.dedup_window(df, "k", "t", "o", 86_400, fold_limit=100)
+    assert sorted(r["o"] for r in kept.collect()) == walk_guard(rows, 86_400)
+    plan = de._next_instants(df.select("k", "t"), 86_400_000)._jdf.queryExecution().analyzed().toString()
+    assert "60000" in plan
+
+
 def test_window_edge_is_still_a_duplicate(spark):
     rows = [("a", 0, 1), ("a", 1000, 2), ("a", 1001, 3), ("a", 1500, 4), ("a", 2001, 5), ("a", 2002, 6), ("a", 0, 7)]
     kept = de.dedup_window(spark.createDataFrame(rows, SCHEMA), "k", "t", "o", 1)
