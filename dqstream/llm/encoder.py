@@ -9,7 +9,7 @@ to the library whole. The ids are those of encoding the whole text.
 
 from __future__ import annotations
 
-import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +21,15 @@ CACHE_PIECES = 600_000
 # Longer pieces are encoded but not kept.
 CACHE_CHARS = 40
 
-_TWO_SPACES = re.compile(r"\s\s").search
-_OTHER_SPACE = re.compile(r"[^\S \n]").search
+# Marks that are neither letters, numbers nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is single spaces and single newlines."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return text.replace("\n", "").isprintable()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,78 +53,65 @@ class Encoder:
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._newline = self._ids("\n")
-        self._ends = {c: self._ids(c) for c in ".,"}
+        self._ends: dict[str, bytes] = {}
         # Cutting by words holds for a vocabulary of this kind only.
         self._cut = self._ids("ab cd.\nef") == b"".join(map(self._ids, ("ab", " cd", ".", "\n", "ef")))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self._cut or _TWO_SPACES(text) or _OTHER_SPACE(text):
+        if not self._cut or not _plain(text):
             return self._ids(text)
-        pieces = text.split(" ")
-        first = self._lines(pieces[0], "") if pieces[0] else b""
-        rest = pieces[1:]
-        found = list(map(self._young.get, rest))
-        if None in found:
-            found = [self._piece(p) if f is None else f for p, f in zip(rest, found)]
-        return first + b"".join(found)
+        # A piece stands for itself and the space before it, or the newline that it starts with.
+        pieces = text.replace("\n", " \n").split(" ")
+        known, piece = self._young.get, self._piece
+        first = self._fresh(pieces[0], "") if pieces[0] else b""
+        del pieces[0]
+        return first + b"".join([known(p) or piece(p) for p in pieces])
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of the piece with the space before it."""
-        ids = self._young.get(piece)
+        """Ids of a piece that is not among the young ones."""
+        ids = self._young.get(piece) or self._old.get(piece)
         if ids is None:
-            if "\n" in piece:
-                return self._lines(piece, " ")
-            ids = self._old.get(piece)
-            if ids is None:
+            if piece[:1] == "\n":
+                ids = self._newline + (self._fresh(piece[1:], "") if len(piece) > 1 else b"")
+            else:
                 ids = self._fresh(piece, " ")
-            if len(piece) <= CACHE_CHARS:
-                self._keep(piece, ids)
-        return ids
-
-    def _lines(self, piece: str, before: str) -> bytes:
-        """Ids of a piece that may hold single newlines."""
-        lines = piece.split("\n")
-        out = [(self._piece(lines[0]) if before else self._start(lines[0])) if lines[0] or before else b""]
-        for line in lines[1:]:
-            out.append(self._newline)
-            if line:
-                out.append(self._start(line))
-        return b"".join(out)
-
-    def _start(self, piece: str) -> bytes:
-        """Ids of a piece with no space before it."""
-        if not piece:
-            return b""
-        key = "\n" + piece
-        ids = self._young.get(key) or self._old.get(key)
-        if ids is None:
-            ids = self._fresh(piece, "")
         if len(piece) <= CACHE_CHARS:
-            self._keep(key, ids)
+            if len(self._young) >= CACHE_PIECES:
+                self._old, self._young = self._young, {}
+            self._young[piece] = ids
         return ids
 
     def _fresh(self, piece: str, before: str) -> bytes:
-        end = piece[-1:] if piece[-1:] in self._ends else ""
-        word = piece[:-1] if end else piece
+        word = piece.rstrip(_MARKS)
+        end = piece[len(word) :]
         # Letters only, of the old blocks whose classes no Unicode version changes.
-        if word.isalpha() and max(word) < "ɐ":
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
             if end and before:
-                return self._piece(word) + self._ends[end]
-            shown = "".join([self._letters[b] for b in (before + word).encode()])
-            ids = np.array([t.id for t in self._word(shown)], "<u4").tobytes()
-            return ids + self._ends[end] if end else ids
+                ids = self._piece(word)
+            elif word.isascii():
+                ids = self._join(("Ġ" if before else "") + word)
+            else:
+                ids = self._join("".join([self._letters[b] for b in (before + word).encode()]))
+            return ids + self._end(end) if end else ids
         return self._ids(before + piece)
 
+    def _join(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self._word(shown)]).tobytes()
+
+    def _end(self, marks: str) -> bytes:
+        """Ids of marks that follow a word; there are few of them, so they are kept apart."""
+        ids = self._ends.get(marks)
+        if ids is None:
+            ids = self._ids(marks)
+            if len(self._ends) < 10_000 and len(marks) <= CACHE_CHARS:
+                self._ends[marks] = ids
+        return ids
+
     def _ids(self, text: str) -> bytes:
         return np.array(self._whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _keep(self, key: str, ids: bytes) -> None:
-        if len(self._young) >= CACHE_PIECES:
-            self._old, self._young = self._young, {}
-        self._young[key] = ids
-
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
