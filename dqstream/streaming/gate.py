@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.query import StreamingQuery
 
-from dqstream.contract import BATCH, HALT
+from dqstream.contract import HALT
 from dqstream.operators import alerts as al
 from dqstream.operators import dedup as de
 from dqstream.operators import history as hi
