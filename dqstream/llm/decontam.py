@@ -9,7 +9,10 @@ it lies, and the range of positions at which a whole window occurs. Shards live
 and die inside one task, so nothing is shuffled.
 
 The benchmark is a stated query set. It is read in blocks of at most BLOCK_WORDS
-words; each block is one more pass in the same stage over what the task holds.
+words (an item that is longer is a block by itself), and what a block needs grows
+with its words, however long its items are. Blocks are broadcast one by one and
+stay on disk; a task has one of them in memory at a time, and each is one more pass
+in the same stage over the rows the task holds.
 
 Nulls: a null text has no words; a null item_id is listed as `null`; a null
 doc_id is carried along. Items with the same id count once. An empty benchmark
@@ -25,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +38,9 @@ WINDOW = 10
 BLOCK_WORDS = 1 << 20
 # A shard is closed once its kept stretches hold this many words.
 SHARD_WORDS = 1 << 21
-# Where whole rows are held with it, also once they hold this many bytes.
+# A task holds rows of this many bytes, or so many rows, for all blocks to pass over.
 SHARD_BYTES = 64 << 20
+SHARD_ROWS = 1 << 17
 
 # Lower case, and a space for every ASCII character that is no digit or letter.
 _WORD = bytes(
@@ -60,35 +65,63 @@ class Block:
         self.ids.append("null" if item_id is None else str(item_id))
         self.items.append(np.array([number.setdefault(w, len(number) + 1) for w in words], np.int32))
 
-    def queries(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All suffixes: their words (0 after the end), window length (0 if none starts) and item."""
-        deepest = max(map(len, self.items))
-        rows = sum(map(len, self.items))
-        text, size, item = np.zeros((rows, deepest), np.int32), np.zeros(rows, np.int32), np.zeros(rows, np.int32)
-        at = 0
-        for k, words in enumerate(self.items):
-            need = min(window, len(words))
-            for i in range(len(words)):
-                text[at, : len(words) - i] = words[i:]
-                size[at] = need if len(words) - i >= need else 0
-                item[at] = k
-                at += 1
-        return text, size, item
-
-
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS) -> list[Block]:
-    """Items with words, in blocks; one partition of items is in memory at a time."""
-    made, size = [Block()], 0
+    def queries(self, window: int) -> Queries:
+        """All suffixes, as places in one text; of equal windows of an item only the first starts one."""
+        lengths = np.array(list(map(len, self.items)), np.int64)
+        text = np.zeros(int(lengths.sum()) + len(lengths), np.int32)
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        for b, words in zip(begins.tolist(), self.items):
+            text[b : b + len(words)] = words
+        item = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        start = np.flatnonzero(text)
+        left = (begins + lengths)[item] - start
+        size = np.minimum(window, lengths)[item].astype(np.int32)
+        size[left < size] = 0
+        _, first = np.unique(item * np.int64(len(text)) + _classes(text, window)[start], return_index=True)
+        again = np.ones(len(start), bool)
+        again[first] = False
+        size[again & (left >= window)] = 0
+        return Queries(text, start, left.astype(np.int32), size, item)
+
+
+@dataclass
+class Queries:
+    """Suffixes of items: where they start in `text`, their words, window length (0 if none starts) and item."""
+
+    text: np.ndarray
+    start: np.ndarray
+    left: np.ndarray
+    size: np.ndarray
+    item: np.ndarray
+
+
+def _classes(text: np.ndarray, window: int) -> np.ndarray:
+    """A number per position, the same where the same `window` words start."""
+    rank, n = np.unique(text, return_inverse=True)[1].astype(np.int64), len(text)
+    step = 1
+    while step < min(window, n):
+        more = min(step, window - step)
+        after = np.zeros(n, np.int64)
+        after[: n - more] = rank[more:] + 1
+        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
+        step += more
+    return rank
+
+
+def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
+    """Items with words, in blocks; one partition of items and one block are in memory at a time."""
+    block, size = Block(), 0
     for row in slim(benchmark, "item_id", "text").toLocalIterator():
         words = words_of(row[1])
         if not words:
             continue
         if size and size + len(words) > most:
-            made.append(Block())
-            size = 0
-        made[-1].add(row[0], words)
+            yield block
+            block, size = Block(), 0
+        block.add(row[0], words)
         size += len(words)
-    return [b for b in made if b.items]
+    if block.items:
+        yield block
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -109,8 +142,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
 
 
-def _order_against(text: np.ndarray, at: np.ndarray, query: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Compare suffixes at `at` with queries over `depth` words: sign, and words in common."""
+def _order_against(
+    text: np.ndarray, at: np.ndarray, queries: np.ndarray, start: np.ndarray, depth: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Compare suffixes at `at` with `queries` from `start` on, over `depth` words: sign, and words in common."""
     sign = np.zeros(len(at), np.int8)
     common = np.zeros(len(at), np.int32)
     open_ = np.arange(len(at))
@@ -119,33 +154,36 @@ def _order_against(text: np.ndarray, at: np.ndarray, query: np.ndarray, depth: n
         if not len(open_):
             break
         own = text[np.minimum(at[open_] + i, len(text) - 1)]
-        wanted = query[open_, i]
+        wanted = queries[start[open_] + i]
         sign[open_] = np.sign(own.astype(np.int64) - wanted)
         open_ = open_[own == wanted]
         common[open_] += 1
     return sign, common
 
 
-def search(text: np.ndarray, suffixes: np.ndarray, query: np.ndarray, depth: np.ndarray, after: bool) -> np.ndarray:
+def search(
+    text: np.ndarray, suffixes: np.ndarray, queries: np.ndarray, start: np.ndarray, depth: np.ndarray, after: bool
+) -> np.ndarray:
     """First place in the suffix array whose suffix is not before (or is after) the query, over `depth` words."""
-    low, high = np.zeros(len(query), np.int64), np.full(len(query), len(suffixes))
+    low, high = np.zeros(len(start), np.int64), np.full(len(start), len(suffixes))
     while (open_ := np.flatnonzero(low < high)).size:
         mid = (low[open_] + high[open_]) // 2
-        sign, _ = _order_against(text, suffixes[mid], query[open_], depth[open_])
+        sign, _ = _order_against(text, suffixes[mid], queries, start[open_], depth[open_])
         right = sign <= 0 if after else sign < 0
         low[open_[right]] = mid[right] + 1
         high[open_[~right]] = mid[~right]
     return low
 
 
-def longest_matches(text: np.ndarray, suffixes: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def longest_matches(
+    text: np.ndarray, suffixes: np.ndarray, queries: np.ndarray, start: np.ndarray, depth: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Length and one position of the longest verbatim match of each query's start."""
-    depth = (query > 0).sum(axis=1).astype(np.int32)
-    place = search(text, suffixes, query, depth, after=False)
-    length, where = np.zeros(len(query), np.int32), np.zeros(len(query), np.int64)
+    place = search(text, suffixes, queries, start, depth, after=False)
+    length, where = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
     for side in (place - 1, place):
         at = suffixes[side.clip(0, len(suffixes) - 1)]
-        common = _order_against(text, at, query, depth)[1]
+        common = _order_against(text, at, queries, start, depth)[1]
         better = common > length
         length[better], where[better] = common[better], at[better]
     return length, where
@@ -156,8 +194,8 @@ class Shard:
 
     def __init__(self, block: Block, window: int) -> None:
         self.block, self.window = block, window
-        self.text, self.size, self.item = block.queries(window)
-        self.shortest = int(self.size[self.size > 0].min())
+        self.queries = block.queries(window)
+        self.shortest = int(self.queries.size[self.queries.size > 0].min())
         self.clear()
 
     def clear(self) -> None:
@@ -178,26 +216,78 @@ class Shard:
 
     def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Every window occurrence: document, first word, words, item; and per suffix its longest match."""
-        none = np.zeros(0, np.int64)
+        none, q = np.zeros(0, np.int64), self.queries
         if not self.parts:
-            return none, none, none, none, np.zeros(len(self.text), np.int32)
+            return none, none, none, none, np.zeros(len(q.start), np.int32)
         lengths = np.array([s[2] for s in self.spots])
         text = np.zeros(int(lengths.sum()) + len(lengths), np.int32)
         begins = np.cumsum(lengths + 1) - lengths - 1
         for b, p in zip(begins.tolist(), self.parts):
             text[b : b + len(p)] = p
         order = suffix_array(text)
-        longest, _ = longest_matches(text, order, self.text)
-        live = np.flatnonzero((self.size > 0) & (longest >= self.size))
-        query, size = self.text[live], self.size[live]
-        first, last = search(text, order, query, size, False), search(text, order, query, size, True)
+        longest, _ = longest_matches(text, order, q.text, q.start, q.left)
+        live = np.flatnonzero((q.size > 0) & (longest >= q.size))
+        start, size = q.start[live], q.size[live]
+        first, last = (search(text, order, q.text, start, size, after) for after in (False, True))
         many = last - first
         which = np.repeat(np.arange(len(live)), many)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
         at = order[first[which] + nth]
         run = np.searchsorted(begins, at, "right") - 1
         spots = np.array(self.spots).reshape(-1, 3)[run]
-        return spots[:, 0], spots[:, 1] + at - begins[run], size[which], self.item[live[which]], longest
+        return spots[:, 0], spots[:, 1] + at - begins[run], size[which], q.item[live[which]], longest
+
+
+class Passes:
+    """The blocks of a benchmark, each taken over the rows a task holds, one in memory at a time."""
+
+    def __init__(self, blocks: list[Broadcast], window: int) -> None:
+        self._blocks, self._window = blocks, window
+        self._only: Shard | None = None
+
+    def _shard(self, shared: Broadcast) -> Shard:
+        if self._only:
+            return self._only
+        shard = Shard(shared.value, self._window)
+        if len(self._blocks) == 1:
+            self._only = shard
+        elif getattr(shared, "_path", None):
+            # Else the worker keeps every block it has read. (Encrypted ones cannot be read again.)
+            vars(shared).pop("_value", None)
+        return shard
+
+    def hits(self, held: list[pa.RecordBatch], column: int) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+        """Ids of a block, and window occurrences in the texts of `held`: row, first word, words, item of the block."""
+        for shared in self._blocks:
+            shard, row = self._shard(shared), 0
+            for batch in held:
+                for text in batch.column(column).to_pylist():
+                    shard.add(row, words_of(text))
+                    row += 1
+                    if shard.words >= SHARD_WORDS:
+                        yield shard.block.ids, list(shard.hits()[:4])
+                        shard.clear()
+            yield shard.block.ids, list(shard.hits()[:4])
+            shard.clear()
+            # The next block is read when this one is gone.
+            del shard
+
+
+def _shared(benchmark: DataFrame) -> list[Broadcast]:
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(b) for b in blocks_of(benchmark)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches, as many as a task holds at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= SHARD_BYTES or sum(b.num_rows for b in held) >= SHARD_ROWS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -206,7 +296,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     `longest` is the length of the longest benchmark passage found among windows,
     in words; `spans` lists hit stretches as first:end in words.
     """
-    blocks = blocks_of(benchmark)
+    blocks = _shared(benchmark)
     schema = (
         "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
         "contaminated boolean, longest bigint, spans string"
@@ -214,47 +304,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     out = _arrow_schema(docs.sparkSession, schema)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = [Shard(b, window) for b in blocks]
-        docs_held: list[tuple[int | None, int]] = []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                for shard in shards:
-                    shard.add(len(docs_held), words)
-                docs_held.append((doc, len(words)))
-            if sum(s.words for s in shards) >= SHARD_WORDS or len(docs_held) >= SHARD_WORDS // 16:
-                yield _report(docs_held, shards, out)
-                docs_held = []
-        if docs_held:
-            yield _report(docs_held, shards, out)
+        passes = Passes(blocks, window)
+        for held in _runs(batches):
+            yield _report(held, passes, out)
 
     texts = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
     return texts.mapInArrow(found, schema)
 
 
-def _report(held: list[tuple[int | None, int]], shards: list[Shard], out: pa.Schema) -> pa.RecordBatch:
-    found: list[list[np.ndarray]] = []
+def _report(held: list[pa.RecordBatch], passes: Passes, out: pa.Schema) -> pa.RecordBatch:
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
     names: list[str] = []
-    for shard in shards:
-        doc, word, size, item, _ = shard.hits()
-        found.append([doc, word, size, item + len(names)])
-        names += shard.block.ids
-        shard.clear()
-    doc, word, size, item = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+    for ids, hits in passes.hits(held, 1):
+        # Only the names of items that were found are kept.
+        used, item = np.unique(hits[3], return_inverse=True)
+        found.append([*hits[:3], item + len(names)])
+        names += [ids[i] for i in used.tolist()]
+    doc, word, size, item = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort([word, doc])
     doc, word, end, item = doc[order], word[order], (word + size)[order], item[order]
-    cuts = np.searchsorted(doc, np.arange(len(held) + 1))
+    cuts = np.searchsorted(doc, np.arange(sum(b.num_rows for b in held) + 1))
     rows = []
-    for k, (doc_id, n_words) in enumerate(held):
-        own = slice(cuts[k], cuts[k + 1])
-        spans = _merged(word[own], end[own])
-        items = sorted({names[i] for i in np.unique(item[own]).tolist()})
-        digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-        n_hit = sum(e - s for s, e in spans)
-        longest = max((e - s for s, e in spans), default=0)
-        shown = ",".join(f"{s}:{e}" for s, e in spans)
-        rows.append((doc_id, n_words, n_hit, len(items), digest, n_hit > 0, longest, shown))
-    columns = list(zip(*rows))
+    for batch in held:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = slice(cuts[len(rows)], cuts[len(rows) + 1])
+            spans = _merged(word[own], end[own])
+            items = sorted({names[i] for i in np.unique(item[own]).tolist()})
+            digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+            n_hit = sum(e - s for s, e in spans)
+            longest = max((e - s for s, e in spans), default=0)
+            shown = ",".join(f"{s}:{e}" for s, e in spans)
+            rows.append((doc_id, len(words_of(text)), n_hit, len(items), digest, n_hit > 0, longest, shown))
+    columns = list(zip(*rows)) or [()] * len(out)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
 
@@ -270,32 +351,18 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark, with all their columns."""
     small_batches(docs.sparkSession)
-    blocks = blocks_of(benchmark)
+    blocks = _shared(benchmark)
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = [Shard(b, window) for b in blocks]
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            first = sum(b.num_rows for b in held)
-            for i, text in enumerate(batch.column(at).to_pylist()):
-                for shard in shards:
-                    shard.add(first + i, words_of(text))
-            held.append(batch)
-            if sum(s.words for s in shards) >= SHARD_WORDS or sum(b.nbytes for b in held) >= SHARD_BYTES:
-                yield from _unhit(held, shards)
-                held = []
-        yield from _unhit(held, shards)
+        passes = Passes(blocks, window)
+        for held in _runs(batches):
+            keep = np.ones(sum(b.num_rows for b in held), bool)
+            for _, hits in passes.hits(held, at):
+                keep[hits[0]] = False
+            first = 0
+            for batch in held:
+                yield batch.filter(pa.array(keep[first : first + batch.num_rows]))
+                first += batch.num_rows
 
     return docs.mapInArrow(clean, docs.schema)
-
-
-def _unhit(held: list[pa.RecordBatch], shards: list[Shard]) -> Iterator[pa.RecordBatch]:
-    keep = np.ones(sum(b.num_rows for b in held), bool)
-    for shard in shards:
-        keep[shard.hits()[0]] = False
-        shard.clear()
-    at = 0
-    for batch in held:
-        yield batch.filter(pa.array(keep[at : at + batch.num_rows]))
-        at += batch.num_rows

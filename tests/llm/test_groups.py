@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import collections
+import gc
 import hashlib
 import re
+import tracemalloc
+import weakref
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -141,6 +145,58 @@ def test_decontamination_of_odd_rows_and_short_items(spark, monkeypatch):
     assert decontam.decontaminate(odd(spark), nothing).count() == len(TEXTS)
 
 
+@pytest.mark.parametrize("repeats", [False, True])
+def test_memory_of_a_block_grows_with_its_words(repeats):
+    """One very long item, whole in one text and in part in another, beside short ones."""
+    rng = np.random.default_rng(5)
+    long = "again and over " * 1000 if repeats else " ".join(f"w{i}" for i in rng.integers(0, 900, 3000))
+    items = [("long", long), ("short", " ".join(f"s{i}" for i in range(12))), ("tiny", "s3 w5")]
+    texts = ["x " + long + " y", " ".join(long.split()[100:115]), "s3 w5 w5", None, "s1 s2 s3"]
+    block = decontam.Block()
+    for name, text in items:
+        block.add(name, decontam.words_of(text))
+    tracemalloc.start()
+    shard = decontam.Shard(block, decontam.WINDOW)
+    for i, text in enumerate(texts):
+        shard.add(i, decontam.words_of(text))
+    doc, word, size, item, longest = shard.hits()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i, text in enumerate(texts):
+        own = doc == i
+        hit = {k for w, n in zip(word[own], size[own]) for k in range(w, w + n)}
+        found = sorted({block.ids[k] for k in item[own]})
+        digest = hashlib.sha256(",".join(found).encode()).hexdigest()
+        assert (len(hit), len(found), digest, bool(hit)) == hits_of(text, items)[1:]
+    assert longest[0] == 3000
+    assert peak < (120 << 20 if repeats else 6 << 20)
+
+
+def test_a_task_has_one_block_at_a_time(monkeypatch):
+    alive = []
+
+    class Shared:
+        def __init__(self, block):
+            self._path, self.block = "x", block
+
+        @property
+        def value(self):
+            gc.collect()
+            alive.append(sum(s() is not None for s in made))
+            return self.block
+
+    made, real = [], decontam.Shard.__init__
+    monkeypatch.setattr(decontam.Shard, "__init__", lambda self, *a: (made.append(weakref.ref(self)), real(self, *a))[1])
+    blocks = []
+    for name in "abc":
+        blocks.append(decontam.Block())
+        blocks[-1].add(name, [name.encode()] * 3)
+    held = [pa.record_batch({"text": ["a a a", None, "b b b b", "c c c"]})]
+    got = [(ids, hits[0].tolist()) for ids, hits in decontam.Passes([Shared(b) for b in blocks], 3).hits(held, 0)]
+    assert got == [(["a"], [0]), (["b"], [2, 2]), (["c"], [3])]
+    assert alive == [0, 0, 0]
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(2)
     for n in (1, 2, 50, 300):
