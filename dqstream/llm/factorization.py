@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqstream.llm.common import _arrow_schema, slim
+from dqstream.llm.common import BATCH_ROWS, _arrow_schema, slim
 
 SLOTS = 1 << 17
 RANK = 4
@@ -178,21 +178,32 @@ def sample(labels: DataFrame, label: str, per_label: int) -> tuple[DataFrame, di
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, inputs: Inputs, per_label: int = SAMPLE_PER_LABEL) -> Machine:
-    """Fit on a bounded sample; with fewer than two labels all texts score the label there is, or one half."""
+    """Fit on a bounded sample; with fewer than two labels all texts score the label there is, or one half.
+
+    Of rows that share a sampled id, the one with the smallest hash of its inputs is learned from.
+    """
     chosen, counts = sample(labels, label, per_label)
-    schema = "doc_id bigint, y int, slots array<int>, amounts array<float>"
+    schema = "doc_id bigint, y int, h bigint, slots array<int>, amounts array<float>"
     out = _arrow_schema(docs.sparkSession, schema)
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hasher = Hasher(inputs)
+        # By id, of which there are as many as the sample holds.
+        least: dict[int, tuple] = {}
         for batch in batches:
-            made = [hasher.row(*row) for row in zip(*[c.to_pylist() for c in batch.columns[2:]])]
-            arrays = [batch.column(0), batch.column(1), *(pa.array([m[i] for m in made], out.field(i + 2).type) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=out)
-
-    # The ids are bounded, so each executor may hold them; only hashed terms come back.
+            for doc, y, h, *values in zip(*[c.to_pylist() for c in batch.columns]):
+                if doc not in least or h < least[doc][2]:
+                    least[doc] = (doc, y, h, *hasher.row(*values))
+        kept = list(least.values())
+        for k in range(0, len(kept), BATCH_ROWS):
+            columns = zip(*kept[k : k + BATCH_ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    # The ids are bounded, so each executor may hold them; only hashed terms come back, one row an id.
     rows = slim(docs, "doc_id", *inputs.columns).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.col("doc_id").cast("bigint"), "y", *inputs.columns).mapInArrow(hashed, schema).toArrow()
+    rows = rows.select(F.col("doc_id").cast("bigint"), "y", F.xxhash64(*inputs.columns), *inputs.columns)
+    rows = rows.mapInArrow(hashed, schema).groupBy("doc_id", "y")
+    rows = rows.agg(F.min_by(F.struct("slots", "amounts"), "h").alias("row")).select("doc_id", "y", "row.*").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
     y = rows["y"].to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:

@@ -78,6 +78,20 @@ def test_held_out_quality_is_found(spark, sf_dir):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.9
 
 
+def test_a_repeated_labelled_id_counts_once(spark, monkeypatch):
+    """A third of all rows repeat one labelled id; another id has two texts."""
+    docs, labels = planted(spark)
+    same = docs.where("doc_id = 4").crossJoin(spark.range(450).select()).unionByName(docs)
+    taken, real = [], fm.fit
+    monkeypatch.setattr(fm, "fit", lambda rows, y, *a: (taken.append(len(rows)), real(rows, y, *a))[1])
+    want, got = toxicity.train(docs, labels), toxicity.train(same, labels)
+    assert taken[0] == taken[1] < 900
+    assert got.bias == want.bias and (got.weights == want.weights).all() and (got.factors == want.factors).all()
+    other = docs.where("doc_id = 4").withColumn("text", F.lit("zark other words"))
+    both = [toxicity.train(same.unionByName(other).repartition(n), labels) for n in (1, 5)]
+    assert taken[2:] == taken[:2] and (both[0].weights == both[1].weights).all()
+
+
 def test_scores_of_odd_rows_and_labels(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1), (None, 1, 1), (5, None, None), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
     for model in (toxicity, quality):
