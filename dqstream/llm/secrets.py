@@ -5,8 +5,10 @@ with incrementally kept counts, so a step costs the same whatever the width: for
 the class of hex digits over the stretches made of them, and for the class of
 base64 letters over the whole string. Where the Shannon entropy reaches the
 class's threshold the window is a secret; windows that overlap are one span. An
-allow-list suppresses what only looks random: UUIDs, parts of URLs, integrity
-digests, marked examples, plain numbers and words.
+allow-list suppresses the windows that overlap what only looks random: UUIDs, hosts
+and paths of URLs (not their user info and queries), integrity digests as long as
+they are by their name, parts between / _ = - with a word that marks examples; and
+plain numbers and words.
 
 Nulls: a null text has no secrets; a null doc_id is carried along. Empty texts
 and tables give what they hold: nothing. Repeated rows are scanned alike. Texts
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,11 +45,16 @@ THRESHOLDS = {"hex": 3.0, "base64": 3.8}
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WIDTH},}}")
 _HEX_RUN = re.compile(rf"[0-9A-Fa-f]{{{WIDTH},}}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-# What allows a string: where it stands in a URL, or after the name of a digest.
-_ALLOWED_BEFORE = re.compile(r"(?:[a-z]+://[^\s\"'<>]*|\b(?:sha(?:1|256|384|512)|md5):)$")
-_SCHEME = re.compile(r"[a-z]:$")
-_DIGEST = re.compile(r"(?:sha(?:1|256|384|512)|md5)-")
-_ALLOWED_INSIDE = re.compile(r"example|sample|placeholder|x{6}", re.IGNORECASE)
+# URLs as far as the next one, their hosts and paths as far as this, and how far a string may be from `://`.
+_URL = re.compile(r"(?<=[a-z])://((?:(?!://)[^\s\"'<>])*)")
+_QUERY = re.compile(r"[?#&]")
+_NEAR = 200
+# Digests by the name before them, as many hex digits or base64 letters as they have.
+_DIGEST = re.compile(r"(sha(?:1|256|384|512)|md5)-")
+_DIGEST_BEFORE = re.compile(r"\b(sha(?:1|256|384|512)|md5):$")
+_DIGEST_BITS = {"sha1": 160, "sha256": 256, "sha384": 384, "sha512": 512, "md5": 128}
+_PART = re.compile(r"[^/_=-]+")
+_MARK = re.compile(r"example|sample|placeholder|x{6}", re.IGNORECASE)
 
 MASK = "[SECRET]"
 
@@ -95,24 +103,65 @@ def windows(run: str, threshold: float) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def allowed(text: str, start: int, end: int) -> bool:
-    """Whether the string is on the allow-list."""
+def _urls(text: str) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Where the URLs' `://` stand, with the stretches of `//`, host and path."""
+    found = []
+    for m in _URL.finditer(text):
+        start, rest = m.start() + 1, m.start(1)
+        query = _QUERY.search(text, rest, m.end())
+        end = query.start() if query else m.end()
+        slash = text.find("/", rest, end)
+        # User info ends at the last @ before the path.
+        host = text.rfind("@", rest, end if slash < 0 else slash) + 1
+        found.append((m.start(), [(start, rest), (host, end)] if host else [(start, end)]))
+    return found
+
+
+def _digest(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The digest at the start of a string."""
+    m = _DIGEST.match(text, start, end)
+    at = m.end() if m else start
+    m = m or _DIGEST_BEFORE.search(text[max(0, start - 10) : start])
+    if not m:
+        return []
+    bits = _DIGEST_BITS[m[1]]
+    digits = bits // 4
+    run = re.compile(rf"[0-9A-Fa-f]{{{digits}}}").match(text, at, end)
+    return [(start, min(end, at + (digits if run else -(-bits // 24) * 4)))]
+
+
+def _allowed(text: str, start: int, end: int, urls: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
+    """Stretches of the string that are on the allow-list."""
+    found = _digest(text, start, end)
+    found += [m.span() for m in _UUID.finditer(text, start, end)]
+    found += [m.span() for m in _PART.finditer(text, start, end) if _MARK.search(m[0])]
+    k = bisect_left(urls, (start,)) - 1
+    if k >= 0 and start - urls[k][0] < _NEAR:
+        found += [(max(s, start), min(e, end)) for s, e in urls[k][1] if s < end and e > start]
+    return _merged(found)
+
+
+def _random(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of a string whose windows reach the threshold of either class."""
     own = text[start:end]
-    before = text[max(0, start - 200) : start]
-    if own.startswith("//") and _SCHEME.search(before) or _DIGEST.match(own):
-        return True
-    return bool(_UUID.search(own) or _ALLOWED_INSIDE.search(own) or _ALLOWED_BEFORE.search(before))
+    spans = [(start + h.start() + s, start + h.start() + e) for h in _HEX_RUN.finditer(own) for s, e in windows(h[0], THRESHOLDS["hex"])]
+    return spans + [(start + s, start + e) for s, e in windows(own, THRESHOLDS["base64"])]
 
 
 def by_entropy(text: str) -> list[Span]:
     """Spans the entropy windows find."""
-    found = []
+    found, urls = [], None
     for m in _CANDIDATE.finditer(text):
-        own, at = m[0], m.start()
-        spans = [(h.start() + s, h.start() + e) for h in _HEX_RUN.finditer(own) for s, e in windows(h[0], THRESHOLDS["hex"])]
-        spans += windows(own, THRESHOLDS["base64"])
-        if spans and not allowed(text, at, m.end()):
-            found += [(at + s, 3, at + e) for s, e in _merged(spans)]
+        spans = _random(text, *m.span())
+        if not spans:
+            continue
+        urls = _urls(text) if urls is None else urls
+        known = _allowed(text, *m.span(), urls)
+        if known:
+            # Windows that overlap none of these lie between them.
+            edges = [m.start(), *(x for stretch in known for x in stretch), m.end()]
+            spans = [x for s, e in zip(edges[::2], edges[1::2]) if e - s >= WIDTH for x in _random(text, s, e)]
+        found += [(s, 3, e) for s, e in _merged(spans)]
     return found
 
 

@@ -138,6 +138,23 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them_back():
     assert secrets.masked(None) is None and secrets.masked("plain") == "plain"
 
 
+def test_the_allow_list_takes_back_only_what_it_overlaps():
+    key, uuid = "kJ8s2Lq0ZpX7vB3nWm5R", "123e4567-e89b-12d3-a456-426614174000"
+    texts = [f"{uuid}/{key}", f"{key}/{uuid}", f"sample_key={key}", f"{key}/placeholder", f"xxxxxx-{key}", f"https://user:{key}@host/x",
+             f"https://{key}@host", f"https://host/{'a' * 30}?key={key}", f"https://host/p?u=https://other/p&key={key}", f"https://a/1,https://user:{key}@b", f"https://host/p#t={key}",
+             f"sha256:{'0123456789abcdef' * 4}/{key}"]
+    for text in texts:
+        at = text.index(key)
+        found = secrets.by_entropy(text)
+        assert any(s <= at and at + len(key) <= e for s, _, e in found), text
+        assert key not in secrets.masked(text)
+        assert uuid not in text or uuid in secrets.masked(text)
+    for text in (f"{uuid}/{uuid}", f"https://host/a/{key}/b", f"https://user@host/{key}", f"https://{key}.host:80/", f"x_sample{key}_y", f"md5:{key}", f"http://a,https://host/{key}"):
+        assert secrets.by_entropy(text) == [], text
+    for text in ("a://" * 50_000, "sample_" * 30_000 + key, f"https://h/{key} " * 5_000, "://" + "a" * 200_000 + key):
+        secrets.masked(text)
+
+
 def test_encoder_gives_the_ids_of_the_library(spark, sf_dir):
     plain, own = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
     odd_texts = [" a", "a ", "a\n", "\na", " ", "\n", "a \n b", "don't we'll x.\nY's", "a\tb c", "x  y", "é́ a", "1,234.5 x² ½",
