@@ -37,6 +37,7 @@ def structure(text: str | None, n_chars: int | None) -> dict[str, float]:
     """Statistics of the text in coarse steps, and its stated length."""
     text = text or ""
     tokens = text.split()
+    found = _WORDS(text.lower())
     lines = text.split("\n")
     n, size = max(1, len(tokens)), max(1, len(text))
     marks = _MARKS(text)
@@ -46,10 +47,11 @@ def structure(text: str | None, n_chars: int | None) -> dict[str, float]:
         "capitals": len(_CAPITALS(text)) * 10 / size,
         "digits": len(_DIGITS(text)) * 10 / size,
         "again": sum(map(eq, tokens, islice(tokens, 1, None))) * 20 / n,
-        "distinct": len(set(tokens)) * 10 / n,
+        "distinct": len(set(found)) * 10 / max(1, len(found)),
         "lines": len(set(lines)) * 10 / len(lines),
         "breaks": min(9, len(lines) * 100 / n),
-        "letters": min(15, (size - n) / n),
+        "letters": min(15, sum(map(len, tokens)) / n),
+        "alone": sum(len(t) == 1 for t in tokens) * 10 / n,
         "size": len(tokens).bit_length(),
     }
     out = {f"={name}:{int(value)}": 1.0 for name, value in stats.items()}

@@ -92,6 +92,13 @@ def test_a_repeated_labelled_id_counts_once(spark, monkeypatch):
     assert taken[2:] == taken[:2] and (both[0].weights == both[1].weights).all()
 
 
+def test_structure_tells_scattered_letters_and_ignores_white_space():
+    assert "=alone:10" in quality.structure("a b c d e", None) and "=alone:0" in quality.structure("ab cd", None)
+    assert "=letters:2" in quality.structure("ab" + " " * 50 + "cd", None)
+    assert "=distinct:5" in quality.structure("Word word, WORD. other", None)
+    assert "=distinct:0" in quality.structure(None, None)
+
+
 def test_scores_of_odd_rows_and_labels(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1), (None, 1, 1), (5, None, None), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
     for model in (toxicity, quality):
