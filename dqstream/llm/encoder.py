@@ -41,13 +41,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str) -> None:
+    `plain` takes the strings of special tokens inside a text as plain text.
+    `kept` pieces are held in each of two generations.
+    """
+
+    def __init__(self, path: str, plain: bool = False, kept: int = CACHE_PIECES) -> None:
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
+        self._whole.encode_special_tokens = plain
+        self._kept = kept
         self._word = self._whole.model.tokenize
         self._letters = _byte_letters()
         self._young: dict[str, bytes] = {}
@@ -78,11 +84,20 @@ class Encoder:
             else:
                 ids = self._fresh(piece, " ")
         if len(piece) <= CACHE_CHARS:
-            if len(self._young) >= CACHE_PIECES:
+            if len(self._young) >= self._kept:
                 self._old, self._young = self._young, {}
             self._young[piece] = ids
         return ids
 
+    def spelled(self) -> list[bytes]:
+        """The bytes of every id."""
+        byte_of = {letter: b for b, letter in self._letters.items()}
+        held = self._whole.get_vocab(with_added_tokens=True)
+        out = [b""] * (max(held.values()) + 1)
+        for token, i in held.items():
+            out[i] = bytes([byte_of[c] for c in token]) if all(c in byte_of for c in token) else token.encode()
+        return out
+
     def _fresh(self, piece: str, before: str) -> bytes:
         word = piece.rstrip(_MARKS)
         end = piece[len(word) :]
