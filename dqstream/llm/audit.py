@@ -6,8 +6,11 @@ smaller doc_id has as well, and is kept as state: per text the smallest id seen
 and the rows that have it. A row that arrives with a larger id fails E. Where a
 smaller id arrives later, the rows counted as passing E until then are
 retracted: counted minus one under their old mask and plus one under the new.
-Counters per (part, mask, labels) are written for each micro-batch under its
-number, so a batch that runs again replaces its own; their sum is the table's.
+
+State and counters are tables with one folder per micro-batch, which holds what
+the batch changed. A batch reads the folders of earlier ones and replaces its own
+when it runs again. The state is keyed by text: old rows of a text and its new
+ones meet in one shuffle. Counters per (part, mask, labels) add up to the table's.
 
 Hot texts: each task folds its rows to one per text before the shuffle by text,
 so that a text which a third of all rows hold reaches its state as one row per
@@ -24,20 +27,14 @@ SHA-256. No column but doc_id, text and source is read.
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import permutations
 from math import ceil
-from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dqstream.llm.common import _arrow_schema, small_batches
 from dqstream.plans.stage import shared_folder
@@ -52,14 +49,9 @@ SALTS = 8
 FOLD_TEXTS = 50_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_DELTAS = "array<struct<part:string,mask:int,good:int,toxic:int,n:bigint>>"
-# A Python worker reads its own state only; bounded native memory, and nothing left behind after a batch.
-_STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-}
+_ROWS = "array<struct<part:string,good:int,toxic:int,n:bigint>>"
+_FOLDED = f"text_key string, mask int, low bigint, at_low {_ROWS}, above {_ROWS}, nameless {_ROWS}"
+_STATE = f"text_key string, mask int, low bigint, passing {_ROWS}, retracted {_ROWS}"
 
 
 def failures(text: Column) -> Column:
@@ -98,95 +90,118 @@ def counters(docs: DataFrame, labels: DataFrame, folder: str) -> None:
     marked = rows.join(told, ["doc_id", "salt"], "left").select(
         "text_key", "mask", "doc_id", "part", F.coalesce("quality", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")
     )
-    folded = marked.mapInArrow(_fold, "text_key string, mask int, tallies string")
-    deltas = folded.groupBy("text_key").applyInPandasWithState(
-        _update, "deltas string", "held string", "append", GroupStateTimeout.NoTimeout
+    schema = _arrow_schema(spark, _FOLDED)
+    folded = marked.mapInArrow(lambda batches: _fold(batches, schema), _FOLDED)
+
+    def work_off(frame: DataFrame, epoch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{folder}/folded/epoch={epoch}")
+        _update_state(spark, folder, epoch)
+        _count(spark, folder, epoch)
+
+    writer = folded.writeStream.foreachBatch(work_off).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _update_state(spark: SparkSession, folder: str, epoch: int) -> None:
+    """Per text that got a smaller id, or more rows of its smallest: the rows that pass E now, and those that do no longer.
+
+    The state of a text are the rows of its smallest id over all earlier batches.
+    """
+    new = spark.read.parquet(f"{folder}/folded/epoch={epoch}").where("low IS NOT NULL")
+    new = new.select("text_key", "mask", "low", F.col("at_low").alias("passing"), F.lit(False).alias("held"))
+    old = spark.createDataFrame([], new.schema)
+    if epoch:
+        earlier = [f"{folder}/state/epoch={e}" for e in range(epoch)]
+        old = spark.read.schema(_STATE).parquet(*earlier).select("text_key", "mask", "low", "passing", F.lit(True).alias("held"))
+    # One row per task and batch at most, so the list of a text is short.
+    texts = new.union(old).groupBy("text_key").agg(
+        F.first("mask").alias("mask"),
+        F.min(F.when(F.col("held"), F.col("low"))).alias("before"),
+        F.min(F.when(~F.col("held"), F.col("low"))).alias("low"),
+        F.collect_list(F.struct("low", "held", "passing")).alias("seen"),
     )
 
-    def write(frame: DataFrame, epoch: int) -> None:
-        told = frame.select(F.inline(F.from_json("deltas", _DELTAS)))
-        told.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(
-            f"{folder}/counters/epoch={epoch}"
+    def rows(which: str) -> Column:
+        return F.expr(f"flatten(transform(filter(seen, s -> {which}), s -> s.passing))")
+
+    texts.where("low <= coalesce(before, low)").select(
+        "text_key",
+        "mask",
+        "low",
+        rows("NOT s.held AND s.low = low").alias("passing"),
+        F.when(F.col("low") < F.col("before"), rows("s.held AND s.low = before")).alias("retracted"),
+    ).write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
+
+
+def _count(spark: SparkSession, folder: str, epoch: int) -> None:
+    """Changes of the counters: each row with an id is counted as failing E, and those that pass are moved."""
+    folded = spark.read.parquet(f"{folder}/folded/epoch={epoch}")
+    state = spark.read.schema(_STATE).parquet(f"{folder}/state/epoch={epoch}")
+
+    def told(frame: DataFrame, rows: str, bits: str, sign: int) -> DataFrame:
+        return frame.select(F.expr(bits).alias("mask"), F.inline(rows)).select(
+            "part", "mask", "good", "toxic", (F.col("n") * sign).alias("n")
         )
 
-    with _settings(spark, _STATE):
-        writer = deltas.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-        running = writer.trigger(availableNow=True).start()
-    running.awaitTermination()
+    fails = f"mask | {DUPLICATE}"
+    changes = told(folded, "at_low", fails, 1).union(told(folded, "above", fails, 1)).union(told(folded, "nameless", "mask", 1))
+    for rows, sign in (("passing", 1), ("retracted", -1)):
+        changes = changes.union(told(state, rows, "mask", sign)).union(told(state, rows, fails, -sign))
+    counted = changes.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
+    counted.write.mode("overwrite").parquet(f"{folder}/counters/epoch={epoch}")
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text: tallies of its smallest id, of the other ids, and of rows without an id."""
-    schema = pa.schema([("text_key", pa.string()), ("mask", pa.int32()), ("tallies", pa.string())])
+def _fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One row per text: its smallest id with the rows of it, the rows of larger ids, and those without an id."""
     held: dict[str, _Text] = {}
 
     def out() -> pa.RecordBatch:
-        columns = [list(held), [t.mask for t in held.values()], [t.told() for t in held.values()]]
+        texts = held.values()
+        columns = [list(held), [t.mask for t in texts], [t.low for t in texts]]
+        columns += [[_told(c) for c in counts] for counts in zip(*[(t.at_low, t.above, t.nameless) for t in texts])]
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        return made
 
     for batch in batches:
         for key, mask, doc, part, good, toxic in zip(*[c.to_pylist() for c in batch.columns]):
             text = held.get(key)
             if text is None:
                 text = held[key] = _Text(mask)
-            text.add(doc, {(part, good, toxic): 1})
+            text.add(doc, (part, good, toxic))
         if len(held) >= FOLD_TEXTS:
             yield out()
     if held:
         yield out()
 
 
+def _told(rows: dict[tuple, int]) -> list[dict]:
+    return [{"part": p, "good": g, "toxic": t, "n": n} for (p, g, t), n in rows.items()]
+
+
 class _Text:
-    """The rows of one text: those of its smallest id, those of larger ids, those without one."""
+    """The rows of one text, counted by part and labels."""
+
+    __slots__ = ("mask", "low", "at_low", "above", "nameless")
 
     def __init__(self, mask: int) -> None:
         self.mask = mask
         self.low: int | None = None
-        self.at_low: Counter = Counter()
-        self.above: Counter = Counter()
-        self.nameless: Counter = Counter()
+        self.at_low: dict[tuple, int] = {}
+        self.above: dict[tuple, int] = {}
+        self.nameless: dict[tuple, int] = {}
 
-    def add(self, doc: int | None, rows: dict[tuple, int]) -> None:
+    def add(self, doc: int | None, row: tuple) -> None:
         if doc is None:
-            self.nameless.update(rows)
+            rows = self.nameless
         elif self.low is None or doc < self.low:
-            self.above.update(self.at_low)
-            self.low, self.at_low = doc, Counter(rows)
+            for k, n in self.at_low.items():
+                self.above[k] = self.above.get(k, 0) + n
+            self.low, self.at_low = doc, {}
+            rows = self.at_low
         else:
-            (self.at_low if doc == self.low else self.above).update(rows)
-
-    def told(self) -> str:
-        return json.dumps([self.low, *([[*k, n] for k, n in c.items()] for c in (self.at_low, self.above, self.nameless))])
-
-
-def _rows(told: list[list]) -> Counter:
-    return Counter({tuple(k): n for *k, n in told})
-
-
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Take in the folded rows of one text; give the changes of the counters."""
-    deltas: Counter = Counter()
-    mask, now = 0, _Text(0)
-    if state.exists:
-        low, at_low = json.loads(state.get[0])
-        now.low, now.at_low = low, _rows(at_low)
-    before = Counter(now.at_low)
-    for frame in frames:
-        for mask, tallies in zip(frame["mask"].tolist(), frame["tallies"].tolist()):
-            low, at_low, above, nameless = json.loads(tallies)
-            if low is not None:
-                now.add(low, _rows(at_low))
-            now.above.update(_rows(above))
-            now.nameless.update(_rows(nameless))
-    # Rows counted as passing E in earlier batches are taken back, then counted as they stand now.
-    for rows, bits, sign in ((before, mask, -1), (now.at_low, mask, 1), (now.above, mask | DUPLICATE, 1), (now.nameless, mask, 1)):
-        for row, n in rows.items():
-            deltas[row, bits] += sign * n
-    if now.low is not None:
-        state.update((json.dumps([now.low, [[*k, n] for k, n in now.at_low.items()]]),))
-    told = [{"part": p, "mask": bits, "good": g, "toxic": t, "n": n} for ((p, g, t), bits), n in deltas.items() if n]
-    yield pd.DataFrame({"deltas": [json.dumps(told)]})
+            rows = self.at_low if doc == self.low else self.above
+        rows[row] = rows.get(row, 0) + 1
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,16 +243,3 @@ def audit(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: in
     folder = f"{shared_folder(spark).rstrip('/')}/dqstream-audit/{uuid.uuid4().hex}"
     counters(source, labels, folder)
     return report(spark, folder)
-
-
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    """Settings for a query that starts inside the block, which takes its own copy of them."""
-    before: dict[str, Any] = {k: spark.conf.get(k, None) for k in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
