@@ -138,7 +138,7 @@ def votes(text: str, kind: int, start: int, end: int) -> list[int]:
         size = 1 if len(own) <= 64 else -1
     elif kind == 1:
         parts = own.split(".")
-        form = 1 if all(p == str(int(p)) for p in parts) else -1
+        form = 1 if all(p == (p.lstrip("0") or "0") for p in parts) else -1
         known = -1 if parts[0] in ("0", "10", "127", "255") or parts[:2] == ["192", "168"] else 1
         size = 1 if len(digits) >= 6 else -1
     elif kind in (2, 5):

@@ -216,3 +216,9 @@ def test_scans_take_odd_rows(spark):
     masked = secrets.mask(odd(spark))
     assert masked.columns == odd(spark).columns
     assert sorted(str(r["text"]) for r in masked.collect()) == sorted(str(secrets.masked(t)) for _, t in TEXTS)
+
+
+def test_parts_of_an_address_may_have_many_zeros(spark):
+    texts = ["0" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000 + "255", "1.2.3." + "0" * 5000, "9" * 5000 + ".1.1.1"]
+    got = privacy.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_ip"]) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 0)]
