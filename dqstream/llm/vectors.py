@@ -7,7 +7,10 @@ angle to the first axis they are cut into blocks; two blocks whose angles lie
 further apart than the threshold allows never meet. For the others a tile adds up
 products over the leading coordinates, bounds what the rest can add by the norms
 of the suffixes, and stops for every pair that can no longer reach the threshold.
-A tile emits link counts per vector and a spanning forest, never its pairs.
+A tile emits link counts per vector and a spanning forest, never its pairs. Only
+pairs within a billionth of the threshold leave a tile as such: turning a vector
+rounds its components, so their cosine is taken once more from the vectors as
+they are given, product over norms, and counts where it reaches the threshold.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite
 components, and one without a label, links with nothing and is kept. Vectors of
@@ -37,6 +40,8 @@ STEPS = (4, 8, 16, 32)
 # A tile with fewer open pairs than this share goes on pair by pair.
 SPARSE = 0.05
 _SLACK = 1e-9
+# Cosines this near to the threshold are taken from the vectors as given.
+UNSURE = 1e-9
 
 
 def unit_rows(vectors: list[list[float]]) -> np.ndarray:
@@ -130,8 +135,8 @@ def blocks(classes: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
     return sorted_.mapInArrow(cut, block_schema).withColumn("block", F.monotonically_increasing_id())
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of rows whose product reaches `threshold`; rows are turned unit vectors."""
+def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and products of the pairs of rows that reach `threshold`; rows are turned unit vectors."""
     d = a.shape[1]
     rest_a = np.sqrt(np.maximum((a * a)[:, ::-1].cumsum(axis=1)[:, ::-1], 0))
     rest_b = np.sqrt(np.maximum((b * b)[:, ::-1].cumsum(axis=1)[:, ::-1], 0))
@@ -141,7 +146,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndar
         product += a[:, done:end] @ b[:, done:end].T
         done = end
         if end == d:
-            return np.nonzero(product >= threshold)
+            break
         live = product + np.outer(rest_a[:, end], rest_b[:, end]) >= threshold - _SLACK
         if np.count_nonzero(live) <= SPARSE * live.size:
             x, y = np.nonzero(live)
@@ -152,13 +157,17 @@ def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndar
                 bound = rest_a[x, end] * rest_b[y, end] - _SLACK if end < d else 0.0
                 live = kept + bound >= threshold
                 x, y, kept = x[live], y[live], kept[live]
-            return x, y
-    return np.nonzero(product >= threshold)
+            return x, y, kept
+    x, y = np.nonzero(product >= threshold)
+    return x, y, product[x, y]
 
 
 def tiles(cut: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, n, null): a links to n more vectors; rows (a, null, b): a and b are in one component."""
-    arc = float(np.arccos(threshold)) + _SLACK
+    """Rows (a, n, null): a links to n more vectors; rows (a, null, b): a and b are in one component.
+
+    Rows (a, -1, b): the cosine of a and b is to be taken again.
+    """
+    arc = float(np.arccos(max(threshold - UNSURE, -1.0))) + _SLACK
     ends = cut.select("label", "size", "low", "high", "block")
     left = ends.toDF("label", "size", "low_a", "high_a", "a")
     right = ends.toDF("label", "size", "low_b", "high_b", "b")
@@ -184,21 +193,55 @@ def _tile(t: dict, threshold: float, out: pa.Schema) -> pa.RecordBatch:
     cid = [np.frombuffer(t[f"cids_{s}"], np.int64) for s in "ab"]
     count = [np.frombuffer(t[f"counts_{s}"], np.int64) for s in "ab"]
     a, b = (np.frombuffer(t[f"turned_{s}"]).reshape(-1, t["size"]) for s in "ab")
-    x, y = close_pairs(a, b, threshold)
+    x, y, cosine = close_pairs(a, b, threshold - UNSURE)
     if t["a"] == t["b"]:
         # Both halves of the square count, so each link is taken once.
-        x, y = x[x < y], y[x < y]
+        x, y, cosine = x[x < y], y[x < y], cosine[x < y]
         ids, shift = cid[0], 0
     else:
         ids, shift = np.concatenate(cid), len(a)
+    near = cosine < threshold + UNSURE
+    unsure_a, unsure_b = ids[x[near]], ids[y[near] + shift]
+    x, y = x[~near], y[~near]
     many = np.bincount(x, count[1][y], len(ids)) + np.bincount(y + shift, count[0][x], len(ids))
     groups = Forest(len(ids))
     groups.link(x, y + shift)
     linked, member = np.flatnonzero(many), np.flatnonzero(groups.root != np.arange(len(ids)))
-    first = np.concatenate([ids[linked], ids[groups.root[member]]])
-    n = pa.array(np.concatenate([many[linked], np.zeros(len(member))]).astype(np.int64), mask=np.arange(len(first)) >= len(linked))
-    other = pa.array(np.concatenate([np.zeros(len(linked), np.int64), ids[member]]), mask=np.arange(len(first)) < len(linked))
-    return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), n, other], schema=out)
+    first = np.concatenate([ids[linked], ids[groups.root[member]], unsure_a])
+    n = np.concatenate([many[linked], np.zeros(len(member)), np.full(len(unsure_a), -1)]).astype(np.int64)
+    other = np.concatenate([np.zeros(len(linked), np.int64), ids[member], unsure_b])
+    kind = np.repeat([0, 1, 2], [len(linked), len(member), len(unsure_a)])
+    columns = [pa.array(first, pa.int64()), pa.array(n, mask=kind == 1), pa.array(other, pa.int64(), mask=kind == 0)]
+    return pa.RecordBatch.from_arrays(columns, schema=out)
+
+
+def settled(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """`found` with its unsure pairs as links of both ends, or left out, by the cosine of the given vectors."""
+    known = classes.select("cid", "n", "embedding")
+    pairs = found.where("n = -1").select("a", "b")
+    for side in "ab":
+        pairs = pairs.join(known.toDF(side, f"n_{side}", f"v_{side}"), side)
+
+    def dot(x: str, y: str) -> str:
+        return f"aggregate(zip_with({x}, {y}, (p, q) -> p * q), 0D, (s, p) -> s + p)"
+
+    # As long as its largest component is one, no vector overflows.
+    for side in "ab":
+        pairs = pairs.withColumn(f"m_{side}", F.expr(f"array_max(transform(v_{side}, c -> abs(c)))"))
+        outside = f"m_{side} > 1e100 OR m_{side} < 1e-100"
+        pairs = pairs.withColumn(
+            f"v_{side}", F.expr(f"IF({outside}, transform(v_{side}, c -> c / m_{side}), v_{side})")
+        )
+    cosine = F.expr(f"{dot('v_a', 'v_b')} / (sqrt({dot('v_a', 'v_a')}) * sqrt({dot('v_b', 'v_b')}))")
+    linked = pairs.where(cosine >= F.lit(threshold)).select(
+        F.inline(
+            F.expr(
+                "array(named_struct('a', a, 'n', n_b, 'b', NULL), named_struct('a', b, 'n', n_a, 'b', NULL),"
+                " named_struct('a', a, 'n', CAST(NULL AS BIGINT), 'b', b))"
+            )
+        )
+    )
+    return found.where("n IS NULL OR n >= 0").unionByName(linked)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,7 +260,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     grouped = keyed.where("label is not null").groupBy(*key, "embedding")
     classes = stage(grouped.agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("cid", F.monotonically_increasing_id()))
     cut = stage(blocks(classes.select("label", "embedding", "cid", "n"), axes(classes)))
-    found = stage(tiles(cut, threshold))
+    found = stage(settled(stage(tiles(cut, threshold)), classes, threshold))
     counts = found.where("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
     narrow = classes.select(*key, "cid", "first", "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import gc
 import hashlib
+import math
 import re
 import tracemalloc
 import weakref
@@ -240,11 +241,30 @@ def test_tiles_stop_early_without_loss():
     base = rng.normal(size=(60, 64))
     x = vectors.unit_rows((np.concatenate([base, base + rng.normal(size=base.shape) * 0.2])).tolist())
     turned = x @ np.linalg.eigh(x.T @ x)[1][:, ::-1]
-    got = set(zip(*(c.tolist() for c in vectors.close_pairs(turned, turned, 0.93))))
+    got = set(zip(*(c.tolist() for c in vectors.close_pairs(turned, turned, 0.93)[:2])))
     want = set(zip(*(c.tolist() for c in np.nonzero(x @ x.T >= 0.93))))
     assert got == want
 
 
+def test_pairs_at_the_threshold_are_judged_by_the_given_vectors(spark):
+    side = [93.0, 1351**0.5]
+    over, under = [93.0, 1351**0.5 * (1 - 1e-12)], [93.0, 1351**0.5 * (1 + 1e-12)]
+    rows = [(i, v, i // 10) for k, pair in enumerate([([1.0, 0.0], side), ([1.0, 0.0], over), ([2.0, 0.0], under)])
+            for i, v in enumerate([*pair, pair[0]], 10 * k)]
+    # A ring whose neighbours lie close to the threshold on both sides.
+    step = math.acos(0.93)
+    rows += [(100 + i, [math.cos(i * step * f), math.sin(i * step * f)], 9) for i, f in enumerate([1, 1, 1 + 1e-12, 1 - 1e-12, 1, 1 + 1e-15])]
+    got = {tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+
+    def cosine(x, y):
+        return sum(p * q for p, q in zip(x, y)) / (math.sqrt(sum(p * p for p in x)) * math.sqrt(sum(q * q for q in y)))
+
+    for i, v, label in rows:
+        n = sum(j != i and label == other and cosine(v, w) >= 0.93 for j, w, other in rows)
+        assert next(r[1] for r in got if r[0] == i) == n
+    assert {r[0]: r[1] for r in got}[1] == 2 and {r[0]: r[1] for r in got}[11] == 2 and {r[0]: r[1] for r in got}[21] == 0
+
+
 def test_embedding_query(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert {tuple(r) for r in queries.op4_embedding_tiles(spark, sf_dir).collect()} == cosine_links(rows)
