@@ -21,7 +21,7 @@ from dqstream.operators import alerts as al
 from dqstream.operators import dedup as de
 from dqstream.operators import history as hi
 from dqstream.operators import routing as ro
-from dqstream.operators.batches import offset_context
+from dqstream.operators.batches import fill_empty, offset_context
 from dqstream.operators.lag import lag_tails, split_late
 from dqstream.operators.signals import batch_facts, combine
 from dqstream.operators.validate import validate_events
@@ -32,6 +32,8 @@ from dqstream.policy import Policy
 from dqstream.session import configure
 
 
+# Marks rows that only say the time.
+HEARTBEAT = "heartbeat"
 # Keys accepted per window-long slot and epoch.
 _ACCEPTED = "idempotency_key string, received_at bigint, slot bigint, epoch bigint"
 
@@ -67,18 +69,27 @@ class Gate:
     def __call__(self, df: DataFrame, epoch: int) -> None:
         p, spark = self.policy, df.sparkSession
         events = df if "feed" in df.columns else df.withColumn("feed", F.lit(self.feed))
+        beats = None
+        if HEARTBEAT in events.columns:
+            if "batch_id" in events.columns:
+                raise ValueError("heartbeats need batches that are numbered by epoch")
+            told = events.filter(HEARTBEAT).groupBy(F.coalesce("feed", F.lit(self.feed)).alias("feed"))
+            beats = told.agg(F.max("received_at").alias("beat"))
+            events = events.filter(f"NOT {HEARTBEAT}").drop(HEARTBEAT)
         if "batch_id" not in events.columns:
             events = events.withColumn("batch_id", F.lit(epoch).cast("bigint"))
         checked = validate_events(events, p).persist()
         try:
             with staging(spark):
-                self._epoch(spark, checked, epoch)
+                self._epoch(spark, checked, epoch, beats)
         finally:
             checked.unpersist()
 
-    def _epoch(self, spark: SparkSession, checked: DataFrame, epoch: int) -> None:
+    def _epoch(self, spark: SparkSession, checked: DataFrame, epoch: int, beats: DataFrame | None = None) -> None:
         p = self.policy
         facts = stage(batch_facts(checked, p))
+        if beats is not None:
+            facts = stage(facts.unionByName(silent_batches(facts, beats, epoch)))
         batches, feeds = facts.agg(F.count(F.lit(1)), F.count_distinct("feed")).first()
         if batches == 0:
             return
@@ -264,6 +275,27 @@ class Gate:
         return new if old is None else new.unionByName(old.select(*new.columns))
 
 
+def silent_batches(facts: DataFrame, beats: DataFrame, epoch: int) -> DataFrame:
+    """An empty batch, at the time of its newest heartbeat, for each feed without events in the epoch."""
+    quiet = beats.join(facts.select("feed"), "feed", "left_anti")
+    empty = fill_empty(facts, quiet.select("feed", F.lit(epoch).cast("bigint").alias("batch_id"), "beat"))
+    return empty.withColumns({"started_at": F.col("beat"), "completed_at": F.col("beat")}).select(*facts.columns)
+
+
+def with_heartbeats(events: DataFrame, feed: str, every_seconds: int = 1) -> DataFrame:
+    """The stream with a row per `every_seconds` that says the time, so that silence is judged too.
+
+    Such rows are no events: they advance the clock of a feed without events, so
+    that its windows run empty and, with `flag_outage`, a stall is raised.
+    """
+    spark = events.sparkSession
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(f"value % {every_seconds} = 0")
+    told = {"feed": F.lit(feed), "received_at": F.unix_millis("timestamp"), HEARTBEAT: F.lit(True)}
+    named = events.drop("feed").withColumns({"feed": F.lit(feed), HEARTBEAT: F.lit(False)})
+    beats = [told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in named.schema.fields]
+    return named.unionByName(ticks.select(*beats))
+
+
 def run_stream(
     events: DataFrame,
     p: Policy,

@@ -15,9 +15,12 @@ from dqstream.policy import starter
 from dqstream.sources import fixtures as fx
 from dqstream.sources.readers import EVENTS, read_folder
 from dqstream.streaming import once
+from dqstream.streaming.gate import Gate, run_stream, with_heartbeats
 from dqstream.streaming.progress import ProgressTable, live_lag, live_latency, offsets_of, read_progress
 from dqstream.streaming.windows import volume_vs_baseline_stream
 
+# A heartbeat every minute, against a window of a minute and a baseline of ten.
+QUIET = starter().but(short_window_seconds=60, baseline_window_seconds=600, stall_min_volume=1, flag_outage=True)
 FAR = 4_000_000_000_000
 RECORDS = "key string, at bigint, feed string, seq bigint, body string"
 
@@ -165,3 +168,56 @@ def test_lag_of_a_topic_source_comes_from_its_offsets(spark):
     schema = "query string, epoch bigint, offsets array<struct<topic:string,partition:int,committed:bigint,high:bigint>>"
     lag = live_lag(spark.createDataFrame(rows, schema), starter().but(throttle_on_lag=7)).collect()
     assert [(r["topic"], r["consumer_lag"], r["backpressure"]) for r in lag] == [("raw", 8, True)]
+
+
+def quiet_frame(spark, seqs, at, beat):
+    """Events at `at`, and one heartbeat at `beat`."""
+    payload = json.dumps({"user_id": "u", "timestamp": "2024-01-15", "price": 1})
+    events = spark.createDataFrame(
+        [(f"e{i}", "t", 1, "p", at, "k", payload, None, None, i, at + 10, False) for i in seqs],
+        "event_id string, event_type string, event_version int, producer string, occurred_at bigint, partition_key string,"
+        " payload_json string, trace_id string, headers map<string,string>, seq bigint, received_at bigint, heartbeat boolean",
+    )
+    beats = spark.createDataFrame([(beat, True)], "received_at bigint, heartbeat boolean")
+    return events.unionByName(beats, allowMissingColumns=True)
+
+
+@pytest.mark.parametrize("flagged", [True, False])
+def test_silence_is_judged_by_heartbeats(spark, tmp_path, flagged):
+    root, t0 = str(tmp_path / "out"), 1_705_314_600_000
+    gate = Gate(QUIET.but(flag_outage=flagged), root)
+    gate(quiet_frame(spark, range(20), t0, t0 + 20), 0)
+    last = 4 if flagged else 3
+    for epoch in range(1, last):
+        gate(quiet_frame(spark, [], t0, t0 + epoch * 90_000), epoch)
+    gate(quiet_frame(spark, range(100, 120), t0 + last * 90_000, t0), last)
+    rows = spark.read.parquet(f"{root}/signals").orderBy("batch_id").collect()
+    assert [r["total_records"] for r in rows] == [20, *[0] * (last - 1), 20]
+    assert [r["clock"] for r in rows][1:last] == [t0 + e * 90_000 for e in range(1, last)]
+    # After three minutes the short window is empty.
+    assert [r["short_volume"] for r in rows][2:last] == [0] * (last - 2)
+    assert [r["stall_active"] for r in rows][2:last] == [flagged] * (last - 2) and not rows[last]["stall_active"]
+    assert [r["outcome"] for r in rows] == ["pass"] * (last + 1)
+    fired = [r["rule"] for r in spark.read.parquet(f"{root}/alerts").collect()]
+    assert ("stall" in fired) == flagged
+    history = spark.read.parquet(f"{root}/history")
+    assert history.count() == last + 1 and history.filter("total_records = 0 AND null_rate = 0").count() == last - 1
+
+
+def test_a_running_stream_without_events_goes_on_judging(spark, tmp_path):
+    root, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    frame = quiet_frame(spark, range(5), int(time.time() * 1000) - 5000, 0).filter("NOT heartbeat").drop("heartbeat")
+    land(frame, folder)
+    stream = with_heartbeats(read_folder(spark, folder, frame.schema), "main")
+    query = run_stream(stream, QUIET.but(batch_timeout_ms=500, short_window_seconds=1), root)
+    try:
+        deadline, empty = time.time() + 90, 0
+        while time.time() < deadline and empty < 2:
+            time.sleep(1)
+            assert query.exception() is None
+            done = [d for d in (tmp_path / "out" / "signals").glob("epoch=*/_SUCCESS")] if (tmp_path / "out" / "signals").exists() else []
+            empty = spark.read.parquet(*[str(d.parent) for d in done]).filter("total_records = 0").count() if done else 0
+    finally:
+        query.stop()
+    assert empty >= 2
+    assert spark.read.parquet(f"{root}/clean").count() == 5
