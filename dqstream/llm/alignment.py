@@ -21,8 +21,10 @@ all are best. An empty table gives no rows. No column but doc_id and text is rea
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,10 +45,15 @@ CHUNK_DOCS = 1 << 14
 # Windows of a document that are looked at together.
 BLOCK_WINDOWS = 1 << 16
 # Windows remembered per Python worker in each of two generations, and how many ids one may have.
-MEMO_WINDOWS = 100_000
+MEMO_WINDOWS = 200_000
 MEMO_IDS = 64
 _KEPT_PIECES = 200_000
 
+# A group of more links counts its pairs first.
+_FEW_LINKS = 64
+# So many pairs with one link each, shared by the windows that have them.
+_ONCE = [array("q", [1] * n).tobytes() for n in range(64)]
+
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 _CHUNK = (
     "chunk bigint, doc_ids array<bigint>, " + ", ".join(f"{n} array<bigint>" for n in _NUMBERS) + ", shas array<string>, "
@@ -88,8 +95,10 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str) -> None:
         self._a, self._b = ByteLevel(path_a), SentencePieces(path_b)
         self._size_a, self._size_b = ([len(s) for s in t.spelled] for t in (self._a, self._b))
+        self._spelled = tuple(np.array(t.spelled, object) for t in (self._a, self._b))
         self._sizes = np.array(self._size_a), np.array(self._size_b)
         self._marked = tuple(np.array([s[:1] == b" " for s in t.spelled]) for t in (self._a, self._b))
+        self._name_a, self._name_b = ([str(i) for i in range(len(s))] for s in (self._size_a, self._size_b))
         self.n_b = len(self._size_b)
         self._young: dict[tuple[bytes, bytes], tuple] = {}
         self._old: dict[tuple[bytes, bytes], tuple] = {}
@@ -100,8 +109,8 @@ class Aligner:
             return 0, 0, iter(())
         whole = b" " + text.encode()
         a, b = self._a.encode(text), self._b.encode(text)
-        for ids, tokens in ((a, self._a), (b, self._b)):
-            if b"".join([tokens.spelled[i] for i in ids.tolist()]) != whole:
+        for ids, spelled in zip((a, b), self._spelled):
+            if b"".join(spelled[ids].tolist()) != whole:
                 return 0, 0, iter(())
         return len(a), len(b), self._blocks(a, b)
 
@@ -117,15 +126,17 @@ class Aligner:
 
     def _anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         """Byte places in the id arrays where windows start, and the end of the last."""
-        ends = [np.cumsum(s[i]) for s, i in zip(self._sizes, (a, b))]
         # Verified: an end that both share, and a marked token behind it on both sides.
-        before = [e[:-1][m[i[1:]]] for e, m, i in zip(ends, self._marked, (a, b))]
-        shared = np.intersect1d(*before, assume_unique=True)
-        return tuple([0, *((np.searchsorted(e, shared) + 1) * 4).tolist(), 4 * len(e)] for e in ends)
+        at = [np.flatnonzero(m[i[1:]]) for m, i in zip(self._marked, (a, b))]
+        end_a, end_b = (np.cumsum(s[i])[k] for s, i, k in zip(self._sizes, (a, b), at))
+        meets = np.searchsorted(end_b, end_a)
+        shared = np.flatnonzero(np.append(end_b, -1)[meets] == end_a)
+        cuts = at[0][shared], at[1][meets[shared]]
+        return tuple([0, *((c + 1) * 4).tolist(), 4 * len(i)] for c, i in zip(cuts, (a, b)))
 
     def _window(self, key: tuple[bytes, bytes]) -> tuple:
         """One aligned window: its groups as text, their number, links, pair codes and their links."""
-        held = self._young.get(key) or self._old.get(key) or self._aligned(*key)
+        held = self._old.get(key) or self._aligned(*key)
         if len(key[0]) + len(key[1]) <= 4 * MEMO_IDS:
             if len(self._young) >= MEMO_WINDOWS:
                 self._old, self._young = self._young, {}
@@ -133,30 +144,44 @@ class Aligner:
         return held
 
     def _aligned(self, raw_a: bytes, raw_b: bytes) -> tuple:
-        a, b = (np.frombuffer(r, "<u4").tolist() for r in (raw_a, raw_b))
-        shown, pairs, links = [], Counter(), 0
-        for left, right in self.groups(a, b):
-            shown.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            links += len(left) * len(right)
-            times = Counter(right)
-            for i, n in Counter(left).items():
-                for j, m in times.items():
-                    pairs[i * self.n_b + j] += n * m
-        codes, counts = (np.array(list(v), "<i8").tobytes() for v in (pairs.keys(), pairs.values()))
-        return ";".join(shown), len(shown), links, codes, counts
-
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids between neighbouring shared ends; both lists stand for the same bytes."""
-        i = j = at_a = at_b = 0
+        """Ids between neighbouring shared ends are a group; both sides stand for the same bytes."""
+        a, b = memoryview(raw_a).cast("I"), memoryview(raw_b).cast("I")
+        size_a, size_b, name_a, name_b, n_b = self._size_a, self._size_b, self._name_a, self._name_b, self.n_b
+        shown: list[str] = []
+        codes: list[int] = []
+        many: list[tuple[int, int]] = []
+        i = j = links = 0
         while i < len(a):
             first_a, first_b = i, j
-            at_a, at_b, i, j = at_a + self._size_a[a[i]], at_b + self._size_b[b[j]], i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a, i = at_a + self._size_a[a[i]], i + 1
+            x, y = a[i], b[j]
+            # How far A's end is ahead of B's, in bytes.
+            ahead = size_a[x] - size_b[y]
+            i, j = i + 1, j + 1
+            if not ahead:
+                shown.append(f"{name_a[x]}|{name_b[y]}")
+                codes.append(x * n_b + y)
+                links += 1
+                continue
+            while ahead:
+                if ahead < 0:
+                    ahead += size_a[a[i]]
+                    i += 1
                 else:
-                    at_b, j = at_b + self._size_b[b[j]], j + 1
-            yield a[first_a:i], b[first_b:j]
+                    ahead -= size_b[b[j]]
+                    j += 1
+            left, right = a[first_a:i].tolist(), b[first_b:j].tolist()
+            shown.append(f"{','.join([name_a[x] for x in left])}|{','.join([name_b[y] for y in right])}")
+            links += len(left) * len(right)
+            if len(left) * len(right) <= _FEW_LINKS:
+                codes += [x * n_b + y for x in left for y in right]
+            else:
+                times = Counter(right).items()
+                many += [(x * n_b + y, n * m) for x, n in Counter(left).items() for y, m in times]
+        each = _ONCE[len(codes)] if len(codes) < len(_ONCE) else array("q", [1] * len(codes)).tobytes()
+        if many:
+            codes += [c for c, _ in many]
+            each += array("q", [n for _, n in many]).tobytes()
+        return ";".join(shown), len(shown), links, array("q", codes).tobytes(), each
 
 
 @lru_cache(maxsize=1)
@@ -199,6 +224,14 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool) -> Dat
     schema = _arrow_schema(docs.sparkSession, _CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nothing here makes cycles, and looking for them among remembered windows takes long.
+        gc.disable()
+        try:
+            yield from chunks(batches)
+        finally:
+            gc.enable()
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, part, made = _aligner(path_a, path_b), TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         size = 0
@@ -239,7 +272,7 @@ def _summed(codes: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct codes in order, and the links of each."""
     if not len(codes):
         return codes, links
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes = codes[order]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     return codes[first], np.add.reduceat(links[order], first)

@@ -91,7 +91,7 @@ def test_the_query_gives_what_the_libraries_give_on_the_whole_table(spark, sf_di
     assert key_sorted(got) == plain(docs, tokens)
 
 
-ODD = ["  two  spaces ", "a▁b", "<|endoftext|> <s>", "<0x41>", "naïve 日本語 😀😀", "\n\n x", "x\x00y", "aaaa" * 50 + " b", " ", "́ é"]
+ODD = ["  two  spaces ", "a▁b", "<|endoftext|> <s>", "<0x41>", "naïve 日本語 😀😀", "\n\n x", "x\x00y", "aaaa" * 50 + " b", "日" * 90, "́" * 300 + "🙂" * 40, " ", "́ é"]
 
 
 def test_odd_texts_blocks_and_chunks(spark, tokens, monkeypatch):
