@@ -187,7 +187,7 @@ def test_silence_is_judged_by_heartbeats(spark, tmp_path, flagged):
     root, t0 = str(tmp_path / "out"), 1_705_314_600_000
     gate = Gate(QUIET.but(flag_outage=flagged), root)
     gate(quiet_frame(spark, range(20), t0, t0 + 20), 0)
-    last = 4 if flagged else 3
+    last = 5 if flagged else 3
     for epoch in range(1, last):
         gate(quiet_frame(spark, [], t0, t0 + epoch * 90_000), epoch)
     gate(quiet_frame(spark, range(100, 120), t0 + last * 90_000, t0), last)
