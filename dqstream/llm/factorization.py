@@ -23,10 +23,18 @@ SLOTS = 1 << 17
 RANK = 4
 # Labelled rows a model is fitted on: at most this many of each label.
 SAMPLE_PER_LABEL = 6_000
-# Slots stay at zero that fewer sampled texts use, or whose use differs between
-# the labels by fewer standard errors: they hold words that say nothing.
+# Slots stay at zero that fewer sampled texts use, and those that say nothing: whose
+# own use differs between the labels by fewer standard errors, and whose use together
+# with any other slot does by fewer, beyond what the two say alone. There are many
+# more pairs than slots, so a pair has to differ by more.
 LEAST_TEXTS = 4
 LEAST_ERRORS = 3.0
+LEAST_PAIR_ERRORS = 6.0
+# Slots are paired that this share of the sampled texts of a label use; that bounds
+# the pairs, as a text uses a few hundred slots.
+PAIRED_SHARE = 0.01
+# Slots whose pairs are counted at once.
+_BLOCK = 512
 # How much more a row of the rarer label weighs than its share.
 RARE_WEIGHT = 3.0
 # Terms whose slot a worker remembers.
@@ -111,7 +119,7 @@ def fit(
     ones, but for RARE_WEIGHT.
     """
     rng = np.random.default_rng(7)
-    used = telling([r[0] for r in rows], labels, slots)
+    used = telling([r[0] for r in rows], labels, slots) | paired([r[0] for r in rows], labels, slots)
     weights = np.zeros(slots, np.float32)
     factors = (rng.normal(0, 0.02, (slots, RANK)) * used[:, None]).astype(np.float32)
     seen_w, seen_v = np.full(slots, 1e-6, np.float32), np.full((slots, RANK), 1e-6, np.float32)
@@ -149,13 +157,19 @@ def fit(
     return Machine(bias, weights, factors)
 
 
-def telling(rows: list[np.ndarray], labels: np.ndarray, slots: int) -> np.ndarray:
-    """Which slots are used by enough texts, and by those of one label more than by the other's."""
+def _used(rows: list[np.ndarray], labels: np.ndarray, slots: int) -> tuple[list[int], list[np.ndarray]]:
+    """Per label: how many texts there are, and how many use each slot."""
     many, counts = [], []
     for y in (0, 1):
         own = [np.unique(r) for r, label in zip(rows, labels) if label == y]
         many.append(len(own))
         counts.append(np.bincount(np.concatenate(own), minlength=slots))
+    return many, counts
+
+
+def telling(rows: list[np.ndarray], labels: np.ndarray, slots: int) -> np.ndarray:
+    """Which slots are used by enough texts, and by those of one label more than by the other's."""
+    many, counts = _used(rows, labels, slots)
     both = counts[0] + counts[1]
     share = both / len(rows)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / many[0] + 1 / many[1]))
@@ -163,6 +177,65 @@ def telling(rows: list[np.ndarray], labels: np.ndarray, slots: int) -> np.ndarra
     return (both >= LEAST_TEXTS) & (apart >= LEAST_ERRORS)
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, slots: int) -> np.ndarray:
+    """Which slots have a partner whose use goes with theirs in one label more than in the other.
+
+    Per pair and label the covariance of the two uses is estimated with its error;
+    the labels' covariances are compared. A pair of words that are equally common in
+    both labels shows only here. All pairs of common slots are looked at, a block of
+    slots against a block at a time.
+    """
+    many, counts = _used(rows, labels, slots)
+    enough = np.maximum(counts[0] >= PAIRED_SHARE * many[0], counts[1] >= PAIRED_SHARE * many[1])
+    common = np.flatnonzero(enough & (counts[0] + counts[1] >= LEAST_TEXTS))
+    place = np.full(slots, -1, np.int32)
+    place[common] = np.arange(len(common))
+    rank = np.empty(len(rows), np.int32)
+    for y in (0, 1):
+        rank[labels == y] = np.arange(many[y])
+    # Uses of common slots as (slot's place, text), in order of the place.
+    at = place[np.concatenate(rows)]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[at >= 0]
+    at = at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    blocks = range(0, len(common), _BLOCK)
+
+    def uses(start: int) -> list[np.ndarray]:
+        """Per label, which text uses which slot of a block."""
+        part = slice(*np.searchsorted(at, [start, start + _BLOCK]))
+        own, out = labels[row[part]], []
+        for y in (0, 1):
+            used = np.zeros((many[y], min(_BLOCK, len(common) - start)), np.float32)
+            used[rank[row[part][own == y]], at[part][own == y] - start] = 1
+            out.append(used)
+        return out
+
+    best = np.zeros(len(common), np.float32)
+    for i in blocks:
+        left = uses(i)
+        for j in blocks[i // _BLOCK :]:
+            right = left if i == j else uses(j)
+            apart, error = np.float32(0), np.float32(0)
+            for y, n in enumerate(many):
+                p, q = left[y].mean(axis=0)[:, None], right[y].mean(axis=0)[None, :]
+                together = left[y].T @ right[y] / n
+                covariance = together - p * q
+                # The mean square of (a - p) (b - q), for a and b of 0 and 1.
+                square = together * ((1 - 2 * p) * (1 - 2 * q)) + p * q * ((1 - 2 * p) * q + p * (1 - q))
+                apart = covariance - apart
+                # One text more or less is never a difference.
+                error = error + (np.maximum(square - covariance**2, 0) + 1 / n) / n
+            errors = np.abs(apart) / np.sqrt(error)
+            if i == j:
+                np.fill_diagonal(errors, 0)
+            for start, most in ((i, errors.max(axis=1)), (j, errors.max(axis=0))):
+                np.maximum(best[start : start + _BLOCK], most, out=best[start : start + _BLOCK])
+    out = np.zeros(slots, bool)
+    out[common[best >= LEAST_PAIR_ERRORS]] = True
+    return out
+
+
 def sample(labels: DataFrame, label: str, per_label: int) -> tuple[DataFrame, dict[int, int]]:
     """At most `per_label` ids of each label, as (doc_id, y), and how often each label occurs.
 
@@ -204,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, inputs: Inputs, per_la
     rows = rows.select(F.col("doc_id").cast("bigint"), "y", F.xxhash64(*inputs.columns), *inputs.columns)
     rows = rows.mapInArrow(hashed, schema).groupBy("doc_id", "y")
     rows = rows.agg(F.min_by(F.struct("slots", "amounts"), "h").alias("row")).select("doc_id", "y", "row.*").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")])
+    rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
     y = rows["y"].to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
         bias = 0.0 if not len(y) else 4.0 if y[0] else -4.0
@@ -212,8 +285,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, inputs: Inputs, per_la
     had = [int((y == k).sum()) for k in (0, 1)]
     shares = [counts[k] / had[k] * len(y) / sum(counts.values()) for k in (0, 1)]
     shares[int(counts[1] < counts[0])] *= RARE_WEIGHT
-    slots = [np.array(s, np.int32) for s in rows["slots"].to_pylist()]
-    amounts = [np.array(s, np.float32) for s in rows["amounts"].to_pylist()]
+    # Views into two flat arrays, as Python numbers would take ten times the memory.
+    ends = np.cumsum(rows["slots"].chunk(0).value_lengths().to_numpy())[:-1]
+    slots, amounts = (np.split(rows[c].chunk(0).flatten().to_numpy(), ends) for c in ("slots", "amounts"))
     return fit(list(zip(slots, amounts)), y, (shares[0], shares[1]))
 
 

@@ -40,6 +40,55 @@ def test_a_pair_of_terms_is_learned():
     assert np.mean(np.array(got) == np.array(labels)) > 0.98
 
 
+def test_a_pair_is_learned_whose_words_are_equally_common_in_both_labels():
+    """The label is 1 with both words or with neither, among words that say nothing."""
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        slots = [k for k, used in ((1, a), (2, b)) if used] + rng.choice(np.arange(10, 400), 30, replace=False).tolist()
+        rows.append((np.array(slots, np.int32), np.ones(len(slots), np.float32)))
+        labels.append(float(a == b))
+    labels = np.array(labels)
+    used = [r[0] for r in rows]
+    assert not fm.telling(used, labels, 400)[[1, 2]].any()
+    assert fm.paired(used, labels, 400).nonzero()[0].tolist() == [1, 2]
+    machine = fm.fit(rows[:2000], labels[:2000], (1.0, 1.0), slots=400)
+    got = np.array([machine.score(*r) > 0.5 for r in rows[2000:]])
+    assert np.mean(got == labels[2000:]) > 0.95
+
+
+def test_pairs_are_compared_across_blocks(monkeypatch):
+    """Blocks of any size give the errors of the plain formula, pair by pair."""
+    rng = np.random.default_rng(4)
+    labels = (rng.random(400) < 0.4).astype(float)
+    table = rng.random((400, 13)) < rng.random(13) * 0.6
+    table[labels == 1, 7] = table[labels == 1, 2]
+    rows = [np.flatnonzero(r).astype(np.int32) for r in table]
+    want = set()
+    for a in range(13):
+        for b in range(a):
+            made = []
+            for y in (0, 1):
+                x = (table[labels == y][:, [a, b]] - table[labels == y][:, [a, b]].mean(axis=0)).prod(axis=1)
+                made.append((x.mean(), (x.var() + 1 / len(x)) / len(x)))
+            if abs(made[1][0] - made[0][0]) / (made[0][1] + made[1][1]) ** 0.5 >= fm.LEAST_PAIR_ERRORS:
+                want |= {a, b}
+    assert want == {2, 7}
+    for block in (1, 3, 512):
+        monkeypatch.setattr(fm, "_BLOCK", block)
+        assert set(fm.paired(rows, labels, 20).nonzero()[0].tolist()) == want
+
+
+def test_held_out_toxicity_of_the_table(spark, sf_dir):
+    """The table's own labels, from ten times the rows: no false alarm, most toxic rows found."""
+    folder = sf_dir.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = queries.op5_toxicity_machine(spark, folder).where("held_out").join(labels, "doc_id").where("toxic IS NOT NULL").collect()
+    caught = [r["predicted"] for r in held if r["toxic"] == 1]
+    assert np.mean([r["predicted"] for r in held if r["toxic"] == 0]) < 0.03 and np.mean(caught) > 0.6
+
+
 def planted(spark):
     """Toxic rows hold two of eight words, the rest none; every third id is held out."""
     rng = np.random.default_rng(6)
