@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,11 @@ from dqstream.plans.scan import SPAN, running, with_reach
 from dqstream.plans.stage import stage
 from dqstream.policy import Policy
 
+# Buckets of a histogram per e-fold of a value: each is about two thirds wider than the one before.
+BUCKETS_PER_E = 2
+# Change of shape that counts, as a population stability index beyond that of equal shapes.
+SHAPE_LIMIT = 0.25
+
 
 def key_drift(df: DataFrame, p: Policy) -> DataFrame:
     """Per batch and payload key: `ok`, `missing` or `unknown`, and its share.
@@ -55,8 +60,8 @@ def key_drift(df: DataFrame, p: Policy) -> DataFrame:
     )
 
 
-def value_stats(df: DataFrame, field: str) -> DataFrame:
-    """Per batch: count, mean, spread and bounds of a numeric payload field."""
+def _numbers(df: DataFrame, field: str) -> DataFrame:
+    """Per event the payload field as `__x`, null where it is no number."""
     text = F.col("payload_json")
     parsed = df.select(*BATCH, text, pay.strict_variant(text).alias("__json"))
     value = pay.field(F.col("__json"), field)
@@ -65,9 +70,14 @@ def value_stats(df: DataFrame, field: str) -> DataFrame:
         pay.is_strict(F.col("__json"), text) & pay.is_number_like(kind) & (kind != "BOOLEAN"),
         F.try_variant_get(value, "$", "double"),
     )
+    return parsed.select(*BATCH, number.alias("__x"))
+
+
+def value_stats(df: DataFrame, field: str) -> DataFrame:
+    """Per batch: count, mean, spread and bounds of a numeric payload field."""
     x = F.col("__x")
     return (
-        parsed.select(*BATCH, number.alias("__x"))
+        _numbers(df, field)
         .groupBy(*BATCH)
         .agg(
             F.count(x).alias("n"),
@@ -115,3 +125,75 @@ def distribution_drift(df: DataFrame, field: str, p: Policy, span: int | None =
         *BATCH, "n", "mean", "spread", "low", "high", "base_n", "base_mean", "base_spread", "z_score",
         F.coalesce(F.col("z_score") > F.lit(p.drift_z_limit), F.lit(False)).alias("drifted"),
     )
+
+
+def log_bucket(x: Column) -> Column:
+    """The bucket of a number on a fixed scale that is even in its logarithm; order is kept.
+
+    Zero has its own bucket, negative numbers mirror positive ones. A double
+    falls into one of fewer than 6,000 buckets, whatever its size.
+    """
+    size = F.floor(F.ln(F.abs(x)) * BUCKETS_PER_E) + 1_000 * BUCKETS_PER_E
+    return F.when(x == 0, F.lit(0)).when(x > 0, size).when(x < 0, -size).cast("bigint")
+
+
+def value_histogram(df: DataFrame, field: str) -> DataFrame:
+    """Per batch and bucket of a numeric payload field: `rows`. A null bucket counts events without a number."""
+    return _numbers(df, field).groupBy(*BATCH, log_bucket(F.col("__x")).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def shape_drift(df: DataFrame, field: str, p: Policy, limit: float = SHAPE_LIMIT, span: int | None = SPAN) -> DataFrame:
+    """The shape of each batch's values against that of the trailing batches, also where the means agree.
+
+    Histograms of the trailing batches are added up bucket by bucket. `ks` is the
+    greatest distance of the two running shares, `psi` the population stability
+    index, with half a row more in every bucket that either side uses. Equal
+    shapes have an expected index of (buckets - 1) (1 / n + 1 / base_n); a batch
+    has drifted if its index exceeds that by more than `limit`. A batch without
+    numbers, or without any in the trailing batches, has neither figure and is
+    not flagged. Events reach the shuffle folded; after that a batch is its buckets.
+    """
+    counted = stage(value_histogram(df, field))
+    filled = F.col("bucket").isNotNull()
+    batches = counted.groupBy(*BATCH).agg(F.coalesce(F.sum(F.when(filled, F.col("rows"))), F.lit(0)).alias("n"))
+    placed = stage(running(batches, ["feed"], ["batch_id"], sums={"__no": F.lit(1).cast("bigint")}, span=span))
+    held = counted.filter(filled).join(placed.select(*BATCH, "__no"), BATCH)
+    # A bucket counts for its own batch and for the base of each batch that looks back to it.
+    reach = F.sequence(F.col("__no"), F.col("__no") + p.drift_trailing_batches)
+    seen = held.select("feed", "bucket", "rows", "__no", F.explode(reach).alias("__for"))
+    own = F.col("__no") == F.col("__for")
+    buckets = seen.groupBy("feed", F.col("__for").alias("__no"), "bucket").agg(
+        F.coalesce(F.sum(F.when(own, F.col("rows"))), F.lit(0)).alias("__own"),
+        F.coalesce(F.sum(F.when(~own, F.col("rows"))), F.lit(0)).alias("__base"),
+    )
+    # As many rows as there are buckets.
+    batch = W.partitionBy("feed", "__no")
+    upto = batch.orderBy("bucket")
+    shares = buckets.select(
+        "*",
+        F.count(F.lit(1)).over(batch).alias("__k"),
+        *[F.sum(c).over(batch).alias(f"{c}_n") for c in ("__own", "__base")],
+        *[F.sum(c).over(upto).alias(f"{c}_up") for c in ("__own", "__base")],
+    )
+
+    def share(c: str) -> Column:
+        return (F.col(c) + 0.5) / (F.col(f"{c}_n") + F.col("__k") * 0.5)
+
+    apart = F.abs(F.col("__own_up") / F.col("__own_n") - F.col("__base_up") / F.col("__base_n"))
+    moved = (share("__own") - share("__base")) * F.ln(share("__own") / share("__base"))
+    usable = (F.col("__own_n") > 0) & (F.col("__base_n") > 0)
+    scored = shares.groupBy("feed", "__no").agg(
+        F.max("__base_n").alias("base_n"),
+        F.count(F.lit(1)).alias("buckets"),
+        F.sum(F.when(usable, moved)).alias("psi"),
+        F.max(F.when(usable, apart)).alias("ks"),
+    )
+    noise = (F.col("buckets") - 1) * (1 / F.col("n") + 1 / F.col("base_n"))
+    return placed.join(scored, ["feed", "__no"], "left").select(
+        *BATCH,
+        "n",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("base_n", "buckets")],
+        "psi",
+        "ks",
+        F.coalesce(F.when(F.col("psi").isNotNull(), F.col("psi") - noise > F.lit(limit)), F.lit(False)).alias("drifted"),
+    )

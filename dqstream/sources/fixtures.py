@@ -113,6 +113,15 @@ def drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices times ten and a tenth by turns in one batch of ten."""
+    power = F.when(F.col("seq") % 2 == 0, r'"price": $1e1}').otherwise(r'"price": $1e-1}')
+    spread = F.regexp_replace("payload_json", F.lit(r'"price": ([0-9.]+)\}'), power)
+    return envelopes(spark, sf_dir).withColumn(
+        "payload_json", F.when(F.col("batch_id") % 10 == 8, spread).otherwise(F.col("payload_json"))
+    )
+
+
 def replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The envelopes plus copies received 10 minutes and 2 hours later."""
     first = envelopes(spark, sf_dir)

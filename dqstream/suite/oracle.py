@@ -88,6 +88,13 @@ part(
   WHEN batch_id % 10 = 8 THEN regexp_replace(payload_json, '"price": ([0-9.]+)\\}', '"price": \\1e2}')
   ELSE payload_json END AS payload_json) FROM env""",
 )
+part(
+    "widened",
+    "env",
+    """SELECT * REPLACE (CASE WHEN batch_id % 10 <> 8 THEN payload_json
+  WHEN seq % 2 = 0 THEN regexp_replace(payload_json, '"price": ([0-9.]+)\\}', '"price": \\1e1}')
+  ELSE regexp_replace(payload_json, '"price": ([0-9.]+)\\}', '"price": \\1e-1}') END AS payload_json) FROM env""",
+)
 part(
     "copies",
     "env",
@@ -541,6 +548,35 @@ SELECT feed, batch_id, n, round(mean, 2) AS mean, round(base_mean, 2) AS base_me
 FROM own JOIN past USING (batch_id)""",
 )
 
+check(
+    "payload_shape_drift",
+    "widened",
+    """, prices AS (SELECT feed, batch_id, CASE WHEN json_type(j, '$.price') IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+      THEN CAST(json_extract_string(j, '$.price') AS DOUBLE) END AS x
+    FROM (SELECT *, CASE WHEN json_valid(payload_json) THEN payload_json END AS j FROM widened)),
+numbered AS (SELECT feed, batch_id, x, dense_rank() OVER (ORDER BY batch_id) AS no,
+    CASE WHEN x = 0 THEN 0 WHEN x IS NOT NULL THEN sign(x) * (floor(ln(abs(x)) * 2) + 2000) END AS bucket FROM prices),
+batches AS (SELECT feed, batch_id, no, count(x) AS n FROM numbered GROUP BY feed, batch_id, no),
+hist AS (SELECT no, bucket, count(*) AS c FROM numbered WHERE x IS NOT NULL GROUP BY no, bucket),
+base AS (SELECT b.no, h.bucket, sum(h.c) AS c
+  FROM batches b JOIN hist h ON h.no BETWEEN b.no - 10 AND b.no - 1 GROUP BY b.no, h.bucket),
+sides AS (SELECT no, bucket, coalesce(h.c, 0) AS own, coalesce(t.c, 0) AS base
+  FROM hist h FULL JOIN base t USING (no, bucket)),
+sized AS (SELECT *, sum(own) OVER w AS n, sum(base) OVER w AS base_n, count(*) OVER w AS k,
+    sum(own) OVER (w ORDER BY bucket) AS own_up, sum(base) OVER (w ORDER BY bucket) AS base_up
+  FROM sides WINDOW w AS (PARTITION BY no)),
+shares AS (SELECT *, (own + 0.5::DOUBLE) / (n + 0.5::DOUBLE * k) AS o, (base + 0.5::DOUBLE) / (base_n + 0.5::DOUBLE * k) AS b
+  FROM sized),
+scored AS (SELECT no, max(base_n) AS base_n, count(*) AS buckets,
+    sum(CASE WHEN n > 0 AND base_n > 0 THEN (o - b) * ln(o / b) END) AS psi,
+    max(CASE WHEN n > 0 AND base_n > 0 THEN abs(own_up / n - base_up / base_n) END) AS ks
+  FROM shares GROUP BY no)
+SELECT feed, batch_id, n, CAST(coalesce(base_n, 0) AS BIGINT) AS base_n, CAST(coalesce(buckets, 0) AS BIGINT) AS buckets,
+  round(psi, 6) AS psi, round(ks, 6) AS ks,
+  CASE WHEN psi IS NOT NULL THEN psi - (buckets - 1) * (1 / n + 1 / base_n) > 0.25 ELSE false END AS drifted
+FROM batches LEFT JOIN scored USING (no)""",
+)
+
 # ---- batch report ----------------------------------------------------------
 
 check("batch_counts", "report", "SELECT feed, batch_id, total_records, passed, quarantined FROM report")

@@ -337,6 +337,13 @@ def payload_drift_large_values(spark, d):
     )
 
 
+@query
+def payload_shape_drift(spark, d):
+    return dr.shape_drift(fx.widened(spark, d), "price", P).select(
+        *BATCH, "n", "base_n", "buckets", r6("psi"), r6("ks"), "drifted"
+    )
+
+
 # ---- batch report ----------------------------------------------------------
 
 
