@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqstream.llm.common import _arrow_schema, slim
-from dqstream.llm.encoder import Encoder
+from dqstream.llm.encoder import CACHE_CHARS, Encoder
 from dqstream.plans.stage import stage
 
 # A chunk is closed once it holds this many pairs of documents, or documents.
@@ -48,6 +49,7 @@ BLOCK_WINDOWS = 1 << 16
 MEMO_WINDOWS = 200_000
 MEMO_IDS = 64
 _KEPT_PIECES = 200_000
+_SPACED = re.compile(" +[^ ]*")
 
 # A group of more links counts its pairs first.
 _FEW_LINKS = 64
@@ -74,7 +76,12 @@ class ByteLevel:
 
 
 class SentencePieces:
-    """Tokenizer B: ids of the text, and the bytes of every id."""
+    """Tokenizer B: ids of the text, and the bytes of every id.
+
+    Where no piece but runs of spaces holds a space behind its start, merges never reach
+    from a word into the spaces after it. So each word is encoded once, with the spaces
+    before it, and remembered. Other models and texts go to the library whole.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -84,9 +91,50 @@ class SentencePieces:
         self.spelled = [
             bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._marked = np.array([s[:1] == b" " for s in self.spelled])
+        self._space = array("I", [model.piece_to_id("▁")]).tobytes()
+        probe = ["ab", "ﬁ.", "Å½", "①\n²", "c'd"]
+        self._apart = self._ids(" ".join(probe)) == b"".join(map(self._ids, probe)) and all(
+            "▁" not in p[1:] or not p.strip("▁") for p in pieces
+        )
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self._model.encode(text, num_threads=1), "<u4")
+        if not self._apart or "▁" in text:
+            return np.frombuffer(self._ids(text), "<u4")
+        # One space before each word is left out, as the library adds it.
+        if text[0] == " " or "  " in text:
+            words = [w[1:] for w in _SPACED.findall(" " + text)]
+        else:
+            words = text.split(" ")
+        held = list(map(self._young.get, words))
+        if None in held:
+            fresh = self._words({w for w, ids in zip(words, held) if ids is None})
+            held = [ids or fresh[w] for w, ids in zip(words, held)]
+        return np.frombuffer(b"".join(held), "<u4")
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not among the young ones."""
+        found = {w: ids for w in words if (ids := self._old.get(w))}
+        unknown = words.difference(found)
+        # Words without spaces of their own go as one text, and are cut where a marked piece starts.
+        plain = [w for w in unknown if w and w[0] != " "]
+        if plain:
+            raw = self._ids(" ".join(plain))
+            at = [*(np.flatnonzero(self._marked[np.frombuffer(raw, "<u4")]) * 4).tolist(), len(raw)]
+            found.update(zip(plain, [raw[i:j] for i, j in zip(at, at[1:])]))
+        found.update({w: self._ids(w) if w else self._space for w in unknown.difference(found)})
+        kept = {w: ids for w, ids in found.items() if len(w) <= CACHE_CHARS}
+        if len(self._young) + len(kept) > _KEPT_PIECES:
+            self._old, self._young = self._young, {}
+        # A text of more words than that keeps none of them.
+        if len(kept) <= _KEPT_PIECES:
+            self._young.update(kept)
+        return found
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self._model.encode(text, num_threads=1)).tobytes()
 
 
 class Aligner:
@@ -151,7 +199,8 @@ class Aligner:
         codes: list[int] = []
         many: list[tuple[int, int]] = []
         i = j = links = 0
-        while i < len(a):
+        n_a = len(a)
+        while i < n_a:
             first_a, first_b = i, j
             x, y = a[i], b[j]
             # How far A's end is ahead of B's, in bytes.
@@ -171,8 +220,9 @@ class Aligner:
                     j += 1
             left, right = a[first_a:i].tolist(), b[first_b:j].tolist()
             shown.append(f"{','.join([name_a[x] for x in left])}|{','.join([name_b[y] for y in right])}")
-            links += len(left) * len(right)
-            if len(left) * len(right) <= _FEW_LINKS:
+            here = (i - first_a) * (j - first_b)
+            links += here
+            if here <= _FEW_LINKS:
                 codes += [x * n_b + y for x in left for y in right]
             else:
                 times = Counter(right).items()
