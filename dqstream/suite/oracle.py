@@ -75,7 +75,9 @@ FROM events""",
 part(
     "thin",
     "env",
-    "SELECT * FROM env WHERE NOT (day(make_timestamp(occurred_at * 1000)) BETWEEN 10 AND 12 AND seq % 5 <> 0)",
+    """SELECT * EXCLUDE early REPLACE (occurred_at - early AS occurred_at, received_at - early AS received_at)
+FROM (SELECT *, CASE WHEN day(make_timestamp(occurred_at * 1000)) BETWEEN 10 AND 12 AND seq % 5 <> 0
+  THEN 259200000 ELSE 0 END AS early FROM env)""",
 )
 part("thin_small", "thin", "SELECT * REPLACE (seq // 10 AS batch_id) FROM thin")
 part("thin_timed", "thin", "SELECT * REPLACE (received_at // 21600000 AS batch_id) FROM thin")
@@ -596,11 +598,12 @@ FROM report""",
 )
 check(
     "empty_batch_stats",
-    "thin_checked",
-    """, four AS (SELECT seq // 4 AS batch_id, count(*) AS total, count(*) FILTER (is_valid) AS passed,
+    "env_checked",
+    """, four AS (SELECT CASE WHEN day(make_timestamp(occurred_at * 1000)) BETWEEN 10 AND 12 THEN seq - seq % 5 ELSE seq END // 4
+      AS batch_id, count(*) AS total, count(*) FILTER (is_valid) AS passed,
     sum(len(list_filter(violations, lambda x: x = 'missing_required_field'))) / (count(*) * 3) AS null_rate,
     count(*) FILTER (list_contains(violations, 'schema_violation')) / count(*) AS schema_rate
-  FROM thin_checked GROUP BY seq // 4)
+  FROM env_checked GROUP BY 1)
 SELECT 'main' AS feed, batch_id, coalesce(total, 0) AS total_records, coalesce(passed, 0) AS passed,
   coalesce(total - passed, 0) AS quarantined, round(coalesce(null_rate, 0.0::DOUBLE), 6) AS null_rate,
   coalesce(null_rate >= 0.02, false) AS null_rate_warning, coalesce(schema_rate >= 0.1, false) AS schema_rate_warning
