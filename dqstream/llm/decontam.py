@@ -195,6 +195,7 @@ class Shard:
     def __init__(self, block: Block, window: int) -> None:
         self.block, self.window = block, window
         self.queries = block.queries(window)
+        self.order: np.ndarray | None = None  # suffixes of the items themselves
         self.shortest = int(self.queries.size[self.queries.size > 0].min())
         self.clear()
 
@@ -202,6 +203,7 @@ class Shard:
         self.parts: list[np.ndarray] = []
         self.spots: list[tuple[int, int, int]] = []  # document, its word, length
         self.words = 0
+        self.found: tuple[np.ndarray, ...] | None = None
 
     def add(self, doc: int, words: list[bytes]) -> None:
         n = len(words)
@@ -234,8 +236,28 @@ class Shard:
         nth = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
         at = order[first[which] + nth]
         run = np.searchsorted(begins, at, "right") - 1
+        item = q.item[live[which]]
+        self.found = text, at, (begins + lengths)[run] - at, size[which], item
         spots = np.array(self.spots).reshape(-1, 3)[run]
-        return spots[:, 0], spots[:, 1] + at - begins[run], size[which], q.item[live[which]], longest
+        return spots[:, 0], spots[:, 1] + at - begins[run], size[which], item, longest
+
+
+    def matches(self) -> list[np.ndarray]:
+        """For each occurrence of `hits`: words of the longest verbatim match from there on, its item and place there."""
+        q = self.queries
+        if self.found is None or not len(self.found[1]):
+            return [np.zeros(0, np.int64)] * 3
+        if self.order is None:
+            self.order = suffix_array(q.text)
+        text, at, left, size, own = self.found
+        spot, first, again = np.unique(at, return_index=True, return_inverse=True)
+        length, where = longest_matches(q.text, self.order, text, spot, left[first])
+        item = q.item[np.searchsorted(q.start, where)]
+        place = where - q.start[np.searchsorted(q.item, item)]
+        length, item, place = (v[again].astype(np.int64) for v in (length, item, place))
+        # Less than a window counts for a short item only, and then it is the whole item.
+        whole = length < self.window
+        return [np.where(whole, a, b) for a, b in ((size, length), (own, item), (0, place))]
 
 
 class Passes:
@@ -256,8 +278,13 @@ class Passes:
             vars(shared).pop("_value", None)
         return shard
 
-    def hits(self, held: list[pa.RecordBatch], column: int) -> Iterator[tuple[list[str], list[np.ndarray]]]:
-        """Ids of a block, and window occurrences in the texts of `held`: row, first word, words, item of the block."""
+    def hits(
+        self, held: list[pa.RecordBatch], column: int, matches: bool = False
+    ) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+        """Ids of a block, and window occurrences in the texts of `held`: row, first word, words, item of the block.
+
+        With `matches` also the words, item and place of the longest match from there on.
+        """
         for shared in self._blocks:
             shard, row = self._shard(shared), 0
             for batch in held:
@@ -265,9 +292,9 @@ class Passes:
                     shard.add(row, words_of(text))
                     row += 1
                     if shard.words >= SHARD_WORDS:
-                        yield shard.block.ids, list(shard.hits()[:4])
+                        yield shard.block.ids, [*shard.hits()[:4], *(shard.matches() if matches else [])]
                         shard.clear()
-            yield shard.block.ids, list(shard.hits()[:4])
+            yield shard.block.ids, [*shard.hits()[:4], *(shard.matches() if matches else [])]
             shard.clear()
             # The next block is read when this one is gone.
             del shard
@@ -291,15 +318,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, spans.
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the longest match, spans.
 
-    `longest` is the length of the longest benchmark passage found among windows,
-    in words; `spans` lists hit stretches as first:end in words.
+    `longest` is the number of words of the longest verbatim match with one item that
+    holds a window of it (0 without any), `longest_at` its first word in the
+    document, the smallest among equals, `longest_item` and `longest_place` an item that
+    holds it and the word there; null without any. `spans` lists hit stretches as
+    first:end in words.
     """
     blocks = _shared(benchmark)
     schema = (
         "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
-        "contaminated boolean, longest bigint, spans string"
+        "contaminated boolean, longest bigint, longest_at bigint, longest_item string, longest_place bigint, spans string"
     )
     out = _arrow_schema(docs.sparkSession, schema)
 
@@ -313,16 +343,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def _report(held: list[pa.RecordBatch], passes: Passes, out: pa.Schema) -> pa.RecordBatch:
-    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 7]
     names: list[str] = []
-    for ids, hits in passes.hits(held, 1):
+    for ids, hits in passes.hits(held, 1, matches=True):
         # Only the names of items that were found are kept.
-        used, item = np.unique(hits[3], return_inverse=True)
-        found.append([*hits[:3], item + len(names)])
+        used, item = np.unique(np.concatenate([hits[3], hits[5]]), return_inverse=True)
+        item, source = np.split(item + len(names), 2)
+        found.append([*hits[:3], item, hits[4], source, hits[6]])
         names += [ids[i] for i in used.tolist()]
-    doc, word, size, item = (np.concatenate(c) for c in zip(*found))
+    doc, word, size, item, length, source, place = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort([word, doc])
     doc, word, end, item = doc[order], word[order], (word + size)[order], item[order]
+    length, source, place = length[order], source[order], place[order]
     cuts = np.searchsorted(doc, np.arange(sum(b.num_rows for b in held) + 1))
     rows = []
     for batch in held:
@@ -332,9 +364,12 @@ def _report(held: list[pa.RecordBatch], passes: Passes, out: pa.Schema) -> pa.Re
             items = sorted({names[i] for i in np.unique(item[own]).tolist()})
             digest = hashlib.sha256(",".join(items).encode()).hexdigest()
             n_hit = sum(e - s for s, e in spans)
-            longest = max((e - s for s, e in spans), default=0)
+            longest: tuple = (0, None, None, None)
+            if n_hit:
+                k = cuts[len(rows)] + int(np.argmax(length[own]))
+                longest = int(length[k]), int(word[k]), names[source[k]], int(place[k])
             shown = ",".join(f"{s}:{e}" for s, e in spans)
-            rows.append((doc_id, len(words_of(text)), n_hit, len(items), digest, n_hit > 0, longest, shown))
+            rows.append((doc_id, len(words_of(text)), n_hit, len(items), digest, n_hit > 0, *longest, shown))
     columns = list(zip(*rows)) or [()] * len(out)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 

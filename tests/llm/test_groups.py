@@ -127,6 +127,43 @@ def test_decontamination_query(spark, sf_dir):
     assert any(g[4] for g in got.values())
 
 
+def test_longest_matches_and_their_places(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdx"), rng.integers(0, 40))) for _ in range(60)]
+    texts += ["w1 w2 w3 w4 w5 w6", "a a a a a a a a", None]
+    items = [" ".join(rng.choice(list("abcd"), n)) for n in (1, 2, 3, 4, 5, 9, 14, 30)]
+    items += ["w1 w2 w3 w4 w5", "w3 w4 w5 w6", "a a a a a a a", ""]
+    benchmark = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string").coalesce(1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    split = [t.split() for t in items]
+
+    def longest(words):
+        best = (0, 0)
+        for i in range(len(words)):
+            for item in split[1:]:
+                for p in range(len(item)):
+                    n = 0
+                    while i + n < len(words) and p + n < len(item) and words[i + n] == item[p + n]:
+                        n += 1
+                    if n >= min(4, len(item)) and n:
+                        best = max(best, (n, -i))
+        return (best[0], -best[1]) if best[0] else (0, None)
+
+    benchmark = benchmark.filter("item_id <> '0'")
+    for most in (decontam.BLOCK_WORDS, 12):
+        real = decontam.blocks_of
+        monkeypatch.setattr(decontam, "blocks_of", lambda b, most=most, real=real: real(b, most))
+        for r in decontam.find_contamination(docs, benchmark, window=4).collect():
+            words = (texts[r["doc_id"]] or "").split()
+            assert (r["longest"], r["longest_at"]) == longest(words)
+            if r["longest"]:
+                n, i, p = r["longest"], r["longest_at"], r["longest_place"]
+                assert words[i : i + n] == split[int(r["longest_item"])][p : p + n]
+            else:
+                assert r["longest_item"] is None and r["longest_place"] is None and not r["contaminated"]
+        monkeypatch.setattr(decontam, "blocks_of", real)
+
+
 def test_decontamination_of_odd_rows_and_short_items(spark, monkeypatch):
     items = [(1, "brown fox"), (2, None), (3, "..."), (None, "lazy dog"), (4, "The QUICK brown fox jumps over the lazy dog near the river"),
              (5, "dog"), (5, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem"), (6, "ipsum sit")]
