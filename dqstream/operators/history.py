@@ -67,11 +67,11 @@ def recent_stats(history: DataFrame, now_ms: int | None = None, minutes: int = 6
     `now_ms` defaults to the newest completion in the table, a scalar subquery.
     """
     if now_ms is None:
-        newest = history.agg(F.max("completed_at").alias("now")).scalar()
-        recent = history.filter(F.col("started_at") >= newest - F.expr(f"INTERVAL '{minutes}' MINUTE"))
+        # The newest completion reads one column; its date then prunes the folders of the rest.
+        bound = history.agg((F.max("completed_at") - F.expr(f"INTERVAL '{minutes}' MINUTE")).alias("bound")).scalar()
     else:
         bound = F.timestamp_millis(F.lit(now_ms - minutes * 60_000))
-        recent = history.filter((F.col("started_at") >= bound) & (F.col("started_date") >= F.to_date(bound)))
+    recent = history.filter((F.col("started_at") >= bound) & (F.col("started_date") >= F.to_date(bound)))
     return recent.agg(
         F.count(F.lit(1)).alias("total_batches"),
         F.coalesce(F.sum("total_records"), F.lit(0)).alias("total_records"),
