@@ -203,3 +203,19 @@ def test_staged_tables_go_with_their_scope(spark):
         path = kept.inputFiles()[0].rsplit("/", 1)[0]
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_recent_stats_open_the_needed_dates_only(spark, tmp_path):
+    start = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") * 600_000)
+    rows = spark.range(1_000).select(
+        start.alias("started_at"),
+        start.alias("completed_at"),
+        F.lit(10).cast("bigint").alias("total_records"),
+        *[F.lit(0.5).alias(c) for c in ("null_rate", "p95_lag_ms", "anomaly_score")],
+        F.to_date(start).alias("started_date"),
+    )
+    rows.write.partitionBy("started_date").parquet(str(tmp_path / "h"))
+    stats = hi.recent_stats(spark.read.parquet(str(tmp_path / "h")))
+    assert stats.first()["total_batches"] == 7
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert any("started_date" in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
