@@ -135,3 +135,49 @@ def test_odd_rows_and_an_empty_table(spark, tokens):
     got = alignment.align(odd(spark), VOCABULARY, PIECES).select(*COLUMNS).collect()
     assert key_sorted(got) == plain(rows, tokens)
     assert alignment.align(none(spark), VOCABULARY, PIECES).count() == 0
+
+
+EDGES = ["x ", "x\n", "x\n y", "x\n\ny z", "a  b c   d ", "\ta b", " lead", "it's we'll.\nIt's", "a\u00a0b \u3000c d", "ends▁ here", "\n", "a b\x1c c", "日本 " + "日" * 30 + " 語\n日本", "end \n"]
+
+
+def test_words_tell_what_anchors_tell(tokens):
+    for order in (1, -1):
+        aligner = alignment.Aligner(VOCABULARY, PIECES)
+        for text in [*ODD, *EDGES, " ".join([*EDGES, *ODD]), "\n".join(["x", *ODD[3:9]])][::order]:
+            by_anchor = alignment._folded(aligner.by_anchor(text), True)
+            n_a, n_b, held = groups(text, tokens)
+            shown = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in held)
+            links = Counter(x * aligner.n_b + y for left, right in held for x in left for y in right)
+            for got in (by_anchor, alignment._document(aligner, text, True)):
+                assert got[:4] == (n_a, n_b, len(held), sum(links.values())) and got[5] == shown
+                assert dict(zip(got[7].tolist(), got[6].tolist())) == links
+
+
+def test_known_words_are_not_encoded_again(monkeypatch):
+    aligner, seen = alignment.Aligner(VOCABULARY, PIECES), []
+    for kind in (alignment.ByteLevel, alignment.SentencePieces):
+        plain_encode = kind.encode
+        monkeypatch.setattr(kind, "encode", lambda self, text, f=plain_encode: seen.append(text) or f(self, text))
+    alignment._document(aligner, "They know some words of a text.\nThey come again.", False)
+    assert seen
+    seen.clear()
+    text = "They come again. some words know\nThey a text.\nThey"
+    known = alignment._document(aligner, text, True)
+    assert not seen
+    assert known[:6] == alignment._folded(aligner.by_anchor(text), True)[:6]
+    # New words of a text go together, behind a word that leads them.
+    seen.clear()
+    alignment._document(aligner, "Some unseen words come unheard again.", False)
+    assert [t.split()[1:] for t in seen] == [["Some", "unseen", "unheard"]] * 2
+    # Where words do not tell the whole, texts go whole.
+    monkeypatch.setattr(aligner, "_apart", False)
+    seen.clear()
+    assert alignment._document(aligner, "They come again.", True)[0] and seen == ["They come again."] * 2
+
+
+def test_words_that_come_back_other_are_judged_with_the_whole_text(monkeypatch):
+    aligner = alignment.Aligner(VOCABULARY, PIECES)
+    plain_encode = alignment.SentencePieces.encode
+    monkeypatch.setattr(alignment.SentencePieces, "encode", lambda self, text: plain_encode(self, text.replace("ﬁ", "fi")))
+    assert alignment._document(aligner, "good ﬁne words", True)[:6] == (0, 0, 0, 0, "", "")
+    assert alignment._document(aligner, "good fine words", True)[2] > 0
