@@ -15,7 +15,7 @@ ones meet in one shuffle. Counters per (part, mask, labels) add up to the table'
 Hot texts: each task folds its rows to one per text before the shuffle by text,
 so that a text which a third of all rows hold reaches its state as one row per
 task. Rows meet the labels by id and a salt made of the text, for ids that are
-often repeated.
+often repeated. Labels grow with the documents and are never broadcast.
 
 Nulls: a null text is empty, a null source the empty part. A row without an id is
 neither smaller nor larger than any, so it passes E and hides no other; labels do
@@ -87,7 +87,8 @@ def counters(docs: DataFrame, labels: DataFrame, folder: str) -> None:
         .agg(*[F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int")).alias(c) for c in ("quality", "toxic")])
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     )
-    marked = rows.join(told, ["doc_id", "salt"], "left").select(
+    # Never broadcast: files tell a hundredth of what the copies take in memory.
+    marked = rows.join(told.hint("merge"), ["doc_id", "salt"], "left").select(
         "text_key", "mask", "doc_id", "part", F.coalesce("quality", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")
     )
     schema = _arrow_schema(spark, _FOLDED)

@@ -103,3 +103,17 @@ def test_a_hot_text_is_folded_and_odd_tables_are_taken(spark, tmp_path):
     assert told(audit.audit(spark, str(tmp_path / "odd"), labels.limit(0))) == plain(rows, [])
     none(spark).write.parquet(str(tmp_path / "none"))
     assert told(audit.audit(spark, str(tmp_path / "none"), labels)) == []
+
+
+def test_labels_that_are_small_on_disk_only_are_not_broadcast(spark, tmp_path):
+    docs = [(i, f"{LONG} {i % 900}", f"s{i % 4}") for i in range(1000)]
+    marks = [(i, 1, i % 2, "p", 0) for i in range(40_000)]
+    written(spark, docs, str(tmp_path / "d"), 2)
+    # Under the broadcast threshold as files, tens of MB as a table of rows.
+    spark.createDataFrame(marks, LABELS).coalesce(1).write.parquet(str(tmp_path / "l"))
+    labels = spark.read.parquet(str(tmp_path / "l"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        assert told(audit.audit(spark, str(tmp_path / "d"), labels, files_per_batch=1)) == plain(docs, marks[:1000])
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
